@@ -1,11 +1,13 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from .decontaminate import op2_decontaminate
+from .jaccard import op6_jaccard_join
 from .mixing import OP3_SQL, op3_mix
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
+    "op6_jaccard_join": op6_jaccard_join,
 }
 
 SQL = {"op3_mix": OP3_SQL}
