@@ -2,11 +2,13 @@
 
 from .decontaminate import op2_decontaminate
 from .jaccard import op6_jaccard_join
+from .lm import op5_lm_score
 from .mixing import OP3_SQL, op3_mix
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
+    "op5_lm_score": op5_lm_score,
     "op6_jaccard_join": op6_jaccard_join,
 }
 
