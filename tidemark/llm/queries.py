@@ -1,6 +1,7 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from .decontaminate import op2_decontaminate
+from .embeddings import op8_embedding_dedup
 from .jaccard import op6_jaccard_join
 from .lm import op5_lm_score
 from .mixing import OP3_SQL, op3_mix
@@ -10,6 +11,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op5_lm_score": op5_lm_score,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_embedding_dedup": op8_embedding_dedup,
 }
 
 SQL = {"op3_mix": OP3_SQL}
