@@ -5,12 +5,16 @@ from .embeddings import op8_embedding_dedup
 from .jaccard import op6_jaccard_join
 from .lm import op5_lm_score
 from .mixing import OP3_SQL, op3_mix
+from .quality import op4_quality
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
+    "op4_quality": op4_quality,
     "op5_lm_score": op5_lm_score,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_embedding_dedup": op8_embedding_dedup,
 }
 
