@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import Scratch
+from .store import Scratch, received, ship
 from .text import ALNUM, Words, slices
 
 #: Words of benchmark items in one automaton; more items make more automata, one broadcast each.
@@ -129,7 +129,7 @@ def _scan(w: Words, automaton: Automaton, keys: np.ndarray, order: np.ndarray, w
 
 def _annotate(shared, text_at: int, names: list):
     def run(batches):
-        automaton = shared.value
+        automaton = received(shared)
         words = list(automaton.ids)
         probe = Words(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))]), ALNUM) if words else None
         keys = probe.hashes if words else np.zeros(1, np.uint64)
@@ -194,7 +194,7 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
         rows = [(r["k"], _words(r["t"])) for r in sorted(part)]
-        shared = spark.sparkContext.broadcast(Automaton(rows, window))
+        shared = ship(spark, Automaton(rows, window))
         schema = T.StructType([*docs.schema.fields, *ADDED.fields])
         out = out.mapInArrow(_annotate(shared, names.index(text), names), schema)
         if b + 1 < blocks:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .jaccard import small
-from .store import Scratch
+from .store import Scratch, received, ship
 
 #: Vectors that the rotations are learned from, at most.
 SAMPLE = 20_000
@@ -79,12 +79,13 @@ def _vectors(column: pa.Array):
 
 def _code(tables, dim: int):
     def run(batches):
+        learned = received(tables)
         for batch in batches:
             keys, vec = [None] * batch.num_rows, [b""] * batch.num_rows
             for d, rows, x in _vectors(batch.column(3)):
                 x = unit(x)
                 fit = x[:, :dim] if d >= dim else np.pad(x, ((0, 0), (0, dim - d)))
-                for r, k, v in zip(rows.tolist(), tables.value.keys(fit), x):
+                for r, k, v in zip(rows.tolist(), learned.keys(fit), x):
                     keys[r], vec[r] = k, v.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3).value_lengths().cast(pa.int32()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["c", "label", "m", "d", "vec", "keys"])
 
@@ -161,7 +162,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     dim = own.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     fit = own.where(F.size("e") == dim).orderBy(F.xxhash64("h"), "c").limit(sample).select("e").toArrow()
     fit = unit(np.concatenate([x for _, _, x in _vectors(fit.column(0).combine_chunks())]))
-    tables = spark.sparkContext.broadcast(Tables(fit, threshold, max(8, math.ceil(math.log2(n / 4000 + 1)))))
+    tables = ship(spark, Tables(fit, threshold, max(8, math.ceil(math.log2(n / 4000 + 1)))))
     kind = own.schema["label"].dataType.simpleString()
     coded = scratch.save(own.select("c", "label", "m", "e").mapInArrow(_code(tables, dim), f"c bigint, label {kind}, m bigint, d int, vec binary, keys array<bigint>"))
 

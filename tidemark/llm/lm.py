@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, received, ship
 from .text import SPACED, Words, mix, slices, sums
 
 #: Longest n-grams that are counted.
@@ -248,7 +248,8 @@ def _score(model, exact, total: int, distinct: int):
     and the other tokens, with how often each is in the text."""
 
     def run(batches):
-        known_hash, known_count = exact.value
+        known_hash, known_count = received(exact)
+        filled = received(model)
         size = total + 0.5 * (distinct + 1)
         for batch in batches:
             out = {k: [] for k in ("tokens", "score", "base", "known", "rare", "times")}
@@ -256,7 +257,7 @@ def _score(model, exact, total: int, distinct: int):
                 w = Words(data, offsets, SPACED)
                 t, first = tokens(w)
                 out["tokens"].append(np.diff(first))
-                out["score"].append(sums(model.value.log10(t, first, total, distinct), first))
+                out["score"].append(sums(filled.log10(t, first, total, distinct), first))
                 at = np.minimum(np.searchsorted(known_hash, t), len(known_hash) - 1)
                 hit = known_hash[at] == t
                 out["base"].append(sums(np.where(hit, np.log10((known_count[at] + 0.5) / size), 0.0), first))
@@ -316,10 +317,10 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     heavy = words.where(F.col("c") >= max(1.0, total * HEAVY)).toPandas()
     hashes = np.append(heavy["h"].to_numpy(np.int64).view(np.uint64), _END)
     order = np.argsort(hashes)
-    exact = spark.sparkContext.broadcast((hashes[order], np.append(heavy["c"].to_numpy(np.int64), ends)[order]))
+    exact = ship(spark, (hashes[order], np.append(heavy["c"].to_numpy(np.int64), ends)[order]))
     model = build(learn, total, max_bits)
     model.starts = float(ends)
-    model = spark.sparkContext.broadcast(model)
+    model = ship(spark, model)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, score double, base double, known bigint, rare array<bigint>, times array<int>"
     schema = schema.replace("bigint", rows.schema["doc_id"].dataType.simpleString(), 1)
     scored = scratch.save(rows.mapInArrow(_score(model, exact, total, distinct), schema).withColumn("row", F.monotonically_increasing_id()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import ROWS, fold, sample
-from .store import Scratch
+from .store import Scratch, received, ship
 from .text import mix, powers, slices, sums, uniform
 
 #: Buckets that n-grams are hashed into.
@@ -103,10 +103,11 @@ def threshold(score: np.ndarray, good: np.ndarray) -> float:
 
 def _keys(values, kept: list, text_at: int, id_at: int):
     def run(batches):
+        table = received(values)
         for batch in batches:
             ratio, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, data, offsets in slices(batch.column(text_at)):
-                ratio[i : i + len(offsets) - 1], size[i : i + len(offsets) - 1] = weigh(values.value, data, offsets)
+                ratio[i : i + len(offsets) - 1], size[i : i + len(offsets) - 1] = weigh(table, data, offsets)
             noise = -np.log(-np.log(uniform(batch.column(id_at).to_numpy().view(np.uint64))))
             score = ratio / (size + PRIOR)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(ratio), pa.array(size), pa.array(score), pa.array(score / TEMPERATURE + noise)], [*(batch.schema.names[i] for i in kept), "__tm_ratio", "__tm_grams", "__tm_score", "__tm_key"])
@@ -162,7 +163,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     scratch = Scratch(spark)
     learned = sample(docs, labels, target, scratch, rows=rows, doc_id=doc_id, text=text)
     table = ratios(counts(learned.where("label = 1").select("text")), counts(docs.select(F.col(f"`{text}`").alias("text"))))
-    values = spark.sparkContext.broadcast(table)
+    values = ship(spark, table)
     told = _weighed(learned, values, "label", "text", ["label"]).select("label", "__tm_score").toPandas()
     cut = threshold(told["__tm_score"].to_numpy(), told["label"].to_numpy() == 1)
     keep = list(docs.columns if keep is None else keep)

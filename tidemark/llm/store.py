@@ -1,9 +1,12 @@
 """Written tables that cut lineage, in the folder that all machines of the cluster share."""
 
 import atexit
+import gc
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict = {}
@@ -19,6 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN['dir']}"
 
 
+def ship(spark: SparkSession, value):
+    """A broadcast of any object; its class travels with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    return pickle.loads(shared.value)
+
+
 class Scratch:
     """Tables of one run of an operator. Executors may be lost: readers find the files elsewhere."""
 
@@ -40,6 +52,13 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
             path.getFileSystem(conf).delete(path, True)
+        self.free()
+
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps, which it does for those that
+        neither Python nor the JVM refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 @atexit.register

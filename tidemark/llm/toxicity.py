@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import ROWS, fold, sample
-from .store import Scratch
+from .store import Scratch, received, ship
 from .text import ALNUM, Words, mix, powers, slices
 
 #: Groups of terms; each term is swapped for the next of its group.
@@ -24,7 +24,10 @@ IDENTITIES = (
     ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen"), ("schwarze", "weiße"), ("ausländer", "bürger"),
 )
 #: Features that are kept at most, and toxic documents that must have a feature at least.
-FEATURES, LEAST = 20_000, 10
+FEATURES, LEAST = 20_000, 8
+#: Least likelihood gain (twice the log) of a feature, far beyond what chance gives the best of a
+#: million, and least share of toxic documents among those that have it.
+GAIN, PURE = 30.0, 0.4
 #: Weights of the swap penalty and of the ridge.
 SWAP, RIDGE = 100.0, 1e-3
 
@@ -121,7 +124,7 @@ def _active(model, identities):
     """Active features of labelled texts, as they are and with identity terms swapped."""
 
     def run(batches):
-        m = model.value.ready()
+        m = received(model).ready()
         for batch in batches:
             rows, swap, kinds = [], [], []
             texts = batch.column(1).to_pylist()
@@ -175,8 +178,8 @@ def fit(label: np.ndarray, own: list, kind: list, swap: list, n: int, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", target: str = "toxic", rows: int = ROWS, identities=IDENTITIES) -> Model:
     """A model of at most `rows` labelled documents outside the held-out fold; of copies among
-    them, one. Its features are those that toxic documents have far more often, by three standard
-    errors of the log odds ratio, FEATURES at most; only their counts and which documents have
+    them, one. Its features are those that toxic documents have far more often than chance gives,
+    FEATURES at most; only their counts and which documents have
     them come to the driver. With labels of one kind only every score is 0 or 1 accordingly, and
     0 without labels."""
     spark = docs.sparkSession
@@ -196,11 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     if bad in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if bad else -40.0)
     seen = told.mapInArrow(_present, "f bigint, bad bigint, good bigint").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST)
-    a, b = F.col("bad") + 0.5, F.col("good") + 0.5
-    odds = F.log(a / F.lit(bad + 1)) - F.log(b / F.lit(n - bad + 1)) - 3 * F.sqrt(1 / a + 1 / b)
-    chosen = seen.withColumn("odds", odds).where("odds > 0.5").orderBy(F.desc("odds"), "f").limit(FEATURES).toPandas()
+    both, rate = F.col("bad") + F.col("good"), bad / n
+    # how much likelier the labels of the texts with the feature are at their own rate of toxic ones
+    gain = 2 * (F.col("bad") * F.log(F.col("bad") / (both * F.lit(rate))) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * F.lit(1 - rate)))).otherwise(0.0))
+    chosen = seen.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.col("bad") >= PURE * both)).orderBy(F.desc("gain"), "f").limit(FEATURES).toPandas()
     names = np.sort(chosen["f"].to_numpy(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(Model(names, np.zeros(len(names)), 0.0))
+    shared = ship(spark, Model(names, np.zeros(len(names)), 0.0))
     rows_ = told.mapInArrow(_active(shared, identities), "label int, own array<bigint>, kind array<bigint>, swap array<bigint>").toArrow()
     # the order of rows is no part of the model
     cols = sorted(zip(*(rows_.column(c).to_pylist() for c in ("label", "own", "kind", "swap"))))
@@ -210,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def _scores(model, kept: list, text_at: int):
     def run(batches):
-        m = model.value.ready()
+        m = received(model).ready()
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for i, data, offsets in slices(batch.column(text_at)):
@@ -225,7 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text: str = "text", keep=None,
 
     Null and empty texts have the score of a text without any feature of the model. Equal texts
     have equal scores. An empty table gives no rows."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text=text, **more))
+    model = ship(docs.sparkSession, train(docs, labels, text=text, **more))
     keep = list(docs.columns if keep is None else keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__tm_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__tm_toxic", T.DoubleType())])
