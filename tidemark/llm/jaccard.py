@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import Scratch
+from .store import Scratch, received, ship
 from .text import SPACED, Words, mix, slices
 
 #: Slots (as a power of two) of the table of how frequent shingles are; it only orders shingles.
@@ -65,6 +65,24 @@ def _subsets(s: np.ndarray, percent: int, light: int):
             yield mix(mix(np.array(c, np.uint64)).sum(dtype=np.uint64, keepdims=True) + mix(np.array([tag])))[0]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity of how many members fall on each of at least twice as many bits. Two bitmaps
+    differ in no more bits than two sets differ in members."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    on = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which bitmaps differ, the larger one folded to the size of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sketch(k: int, bits: int):
     def run(batches):
         counts, seen = np.zeros(1 << bits, np.uint32), 0
@@ -86,10 +104,10 @@ def _sets(k: int, percent: int, light: int, bits: int, levels):
 
     def run(batches):
         level, met = np.zeros(1 << bits, np.uint8), set()
-        slot, value = levels.value
+        slot, value = received(levels)
         level[slot] = value
         for batch in batches:
-            sizes, signs, tokens = [], [], []
+            sizes, signs, tokens, maps = [], [], [], []
             for _, data, offsets in slices(batch.column(2)):
                 for s in shingle_sets(Words(data, offsets, SPACED), k):
                     n = len(s)
@@ -98,6 +116,7 @@ def _sets(k: int, percent: int, light: int, bits: int, levels):
                     signs.append(sign)
                     if not n or sign in met:
                         tokens.append(None)
+                        maps.append(None)
                         continue
                     met.add(sign)
                     own = []
@@ -108,9 +127,10 @@ def _sets(k: int, percent: int, light: int, bits: int, levels):
                     if n <= light:
                         own.append(np.array(list(_subsets(s, percent, light)), np.uint64))
                     tokens.append(np.concatenate(own).view(np.int64))
+                    maps.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                ["doc_id", "tk", "n", "sign", "tokens"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                ["doc_id", "tk", "n", "sign", "tokens", "bits"],
             )
 
     return run
@@ -129,6 +149,19 @@ def _blobs(k: int):
     return run
 
 
+def _plausible(percent: int):
+    """Pairs that may link as far as sizes and bitmaps tell; none that links is left out."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = [i for i in range(len(n)) if (n[i] + m[i] - differing(x[i], y[i])) // 2 >= overlap(n[i], m[i], percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _compare(percent: int):
     def run(batches):
         for batch in batches:
@@ -158,7 +191,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     table of frequent shingles gives it). In each list, sets of like size first meet one of their
     number only, and what that links is a component; then only sets of different components that
     share a list meet. So groups of near copies cost no pairs among themselves, and no link
-    between components is missed. All that meet are compared in full, on sets built from the texts.
+    between components is missed. Of all that meet, parity bitmaps rule out pairs that differ too
+    much; the others are compared in full, on sets built from the texts.
 
     Null and empty texts, and those without words, have no shingles and are alone. Null ids count
     only where nothing in the component has an id. Repeated rows are copies. Empty: no rows.
@@ -168,8 +202,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     light = boundary(percent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
     often = rows.select("text").mapInArrow(_sketch(k, sketch_bits), "slot int, n bigint").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
-    levels = spark.sparkContext.broadcast((often["slot"].to_numpy(np.int64), often["level"].to_numpy(np.uint8)))
-    sets = scratch.save(rows.mapInArrow(_sets(k, percent, light, sketch_bits, levels), "doc_id bigint, tk bigint, n bigint, sign bigint, tokens array<bigint>"))
+    levels = ship(spark, (often["slot"].to_numpy(np.int64), often["level"].to_numpy(np.uint8)))
+    sets = scratch.save(rows.mapInArrow(_sets(k, percent, light, sketch_bits, levels), "doc_id bigint, tk bigint, n bigint, sign bigint, tokens array<bigint>, bits binary"))
     own = scratch.save(sets.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("least"), F.min("tk").alias("tk"), F.max("n").alias("n")))
 
     token, like = Window.partitionBy("token"), Window.partitionBy("token", "band")
@@ -185,28 +219,51 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
 
     c = F.col
     stars = met.where((c("sign") != c("hub.sign")) & possible(c("n"), c("hub.n"), c("pos"), c("hub.pos")))
-    stars = scratch.save(stars.select(F.least("sign", "hub.sign").alias("u"), F.greatest("sign", "hub.sign").alias("v")).distinct())
+    stars = scratch.save(stars.select("sign", c("hub.sign").alias("other")).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("u", "v")).alias("sign")).distinct().join(own, "sign").select(F.col("tk").alias("key")).distinct()
+        signs = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+        maps = sets.where("bits is not null").select("sign", "n", "bits").join(small(signs), c("sign") == c("key"), "left_semi").dropDuplicates(["sign"])
+        maps = scratch.save(maps)
+        near = pairs.join(maps.select(c("sign").alias("su"), c("n").alias("nu"), c("bits").alias("bu")), c("u") == c("su")).join(maps.select(c("sign").alias("sv"), c("n").alias("nv"), c("bits").alias("bv")), c("v") == c("sv"))
+        near = scratch.save(near.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_plausible(percent), "u bigint, v bigint"))
+        need = near.select(F.explode(F.array("u", "v")).alias("sign")).distinct().join(own, "sign").select(F.col("tk").alias("key")).distinct()
         texts = rows.join(small(need), c("tk") == c("key"), "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
         blobs = scratch.save(texts.select("text").mapInArrow(_blobs(k), "sign bigint, blob binary").dropDuplicates(["sign"]))
-        full = pairs.join(blobs.select(c("sign").alias("su"), c("blob").alias("bu")), c("u") == c("su")).join(blobs.select(c("sign").alias("sv"), c("blob").alias("bv")), c("v") == c("sv"))
+        full = near.join(blobs.select(c("sign").alias("su"), c("blob").alias("bu")), c("u") == c("su")).join(blobs.select(c("sign").alias("sv"), c("blob").alias("bv")), c("v") == c("sv"))
         out = scratch.save(full.select("u", "v", "bu", "bv").mapInArrow(_compare(percent), "u bigint, v bigint"))
-        scratch.drop(blobs)
+        scratch.drop(maps, near, blobs)
         return out
 
-    links = verified(stars)
-    comp = scratch.save(components(links, scratch))
+    def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the links among `pairs`, which are between components, are added."""
+        if not pairs.limit(1).count():
+            return comp
+        links = verified(pairs)
+        if not links.limit(1).count():
+            return comp
+        side = lambda x: comp.select(c("node").alias(f"n{x}"), c("component").alias(f"c{x}"))
+        links = links.join(side("u"), c("u") == c("nu"), "left").join(side("v"), c("v") == c("nv"), "left")
+        links = scratch.save(links.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
+        wide = components(links.select(c("cu").alias("u"), c("cv").alias("v")), scratch).select(c("node").alias("wn"), c("component").alias("wide"))
+        nodes = comp.unionByName(links.select(c("u").alias("node"), c("cu").alias("component"))).unionByName(links.select(c("v").alias("node"), c("cv").alias("component"))).distinct()
+        return scratch.save(nodes.join(wide, c("component") == c("wn"), "left").select("node", F.coalesce("wide", "component").alias("component")))
+
+    # One hub for each set first: that joins most groups. Then the other hubs of sets still apart.
+    once = scratch.save(stars.groupBy("sign").agg(F.min("other").alias("v")).select(F.least("sign", "v").alias("u"), F.greatest("sign", "v").alias("v")).distinct())
+    comp = scratch.save(components(verified(once), scratch))
+    side = lambda x: comp.select(c("node").alias(f"n{x}"), c("component").alias(f"c{x}"))
+    more = stars.select(F.least("sign", "other").alias("u"), F.greatest("sign", "other").alias("v")).distinct().join(once, ["u", "v"], "left_anti")
+    more = more.join(side("u"), c("u") == c("nu"), "left").join(side("v"), c("v") == c("nv"), "left")
+    more = scratch.save(more.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"))
+    comp = joined(comp, more)
     at = met.join(comp, c("sign") == c("node"), "left").select("token", "sign", "n", "pos", F.coalesce("component", "sign").alias("comp"))
     split = at.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low < high").drop("low", "high")
     split = scratch.save(split)
     a, b = split.select(*[c(x).alias(f"a_{x}") for x in split.columns]), split.select(*[c(x).alias(f"b_{x}") for x in split.columns])
     rest = a.join(b, (c("a_token") == c("b_token")) & (c("a_sign") < c("b_sign")) & (c("a_comp") != c("b_comp")) & possible(c("a_n"), c("b_n"), c("a_pos"), c("b_pos")))
-    rest = rest.select(c("a_sign").alias("u"), c("b_sign").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    rest = scratch.save(rest)
-    if rest.limit(1).count():
-        comp = scratch.save(components(links.unionByName(verified(rest)), scratch))
+    rest = scratch.save(rest.select(c("a_sign").alias("u"), c("b_sign").alias("v")).distinct().join(once.unionByName(more), ["u", "v"], "left_anti"))
+    comp = joined(comp, rest)
     scratch.drop(met, split)
     whole = own.join(comp, c("sign") == c("node"), "left").select("sign", F.coalesce("component", "sign").alias("comp"), "least")
     name = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
