@@ -14,13 +14,13 @@ ORDER = 3
 STEPS = {1: 4, 2: 1, 3: 1}
 #: Bits of the whole filter at most: what is broadcast to a worker is at most 64 MB.
 MAX_BITS = 1 << 29
-#: Bits of the filter for each member, and probes for each lookup.
-BITS_EACH, PROBES = 14, 8
+#: Bits of the filter for each member. A lookup probes four bits in each of two words.
+BITS_EACH = 14
 #: n-grams that one task adds up at a time, on either side of the shuffle.
 AT_ONCE = 4_000_000
 #: Tokens with at least this share of all training tokens have their exact count broadcast, so
 #: there are at most 1 / HEAVY of them.
-HEAVY = 1 / 200_000
+HEAVY = 1 / 2_000_000
 #: Weight of the shorter context, as a count, by order of the n-gram.
 BACKOFF = {2: 100.0, 3: 2.0}
 
@@ -124,11 +124,16 @@ def _count(shards: int):
     return run
 
 
-def _places(h: np.ndarray, lv: int, bits: int):
-    """Bits of members (h, level) of a shard of `bits` bits, PROBES for each."""
-    h = mix(h + _U(lv * 0x9E3779B97F4A7C15 % (1 << 64)))
-    a, b = h & _U(0xFFFFFFFF), (h >> _U(32)) | _U(1)
-    return [((a + b * _U(i)) % _U(bits)).astype(np.int64) for i in range(PROBES)]
+def _probe(h: np.ndarray, lv: int, words: np.ndarray):
+    """The two words of a filter of `words` words that hold member (h, lv), and its bits in each."""
+    x = mix(h + _U(lv * 0x9E3779B97F4A7C15 % (1 << 64)))
+    y = x * _U(0xD6E8FEB86659FD93)
+    y ^= y >> _U(29)
+    for half, shift in ((x & _U(0xFFFFFFFF), 0), (x >> _U(32), 24)):
+        bits = np.zeros(len(h), np.uint64)
+        for i in range(shift, shift + 24, 6):
+            bits |= _U(1) << ((y >> _U(i)) & _U(63))
+        yield ((half * words) >> _U(32)).astype(np.int64), bits
 
 
 def _shard(most_bits: int):
@@ -149,14 +154,14 @@ def _shard(most_bits: int):
             n = max((n for n in held if total[n]), key=lambda n: (total[n] * (n > 1), n))
             cut[n] *= 2
             total[n] = need(n)
-        bits = max(64, -(-sum(total.values()) // 64) * 64)
-        on = np.zeros(bits, bool)
+        words = max(1, -(-sum(total.values()) // 64))
+        on = np.zeros(words, np.uint64)
         for n, (h, c) in held.items():
             h, lv = h[c >= cut[n]], level(c[c >= cut[n]], n)
             for j in range(1, int(lv.max(initial=0)) + 1):
-                for p in _places(h[lv >= j], j, bits):
-                    on[p] = True
-        return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "bits": pa.array([bits], pa.int64()), "filter": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()), "cut": pa.array([[cut.get(n, 1) for n in range(1, ORDER + 1)]], pa.list_(pa.int64()))})
+                for at, bits in _probe(h[lv >= j], j, _U(words)):
+                    np.bitwise_or.at(on, at, bits)
+        return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "filter": pa.array([on.tobytes()], pa.binary()), "cut": pa.array([[cut.get(n, 1) for n in range(1, ORDER + 1)]], pa.list_(pa.int64()))})
 
     return run
 
@@ -166,105 +171,102 @@ class Filter:
 
     def __init__(self, shards: int, rows):
         self.shards = shards
-        self.bits = np.full(shards, 64, np.uint64)
+        self.words = np.ones(shards, np.uint64)
         self.at = np.zeros(shards, np.int64)
         self.cut = {r["shard"]: r["cut"] for r in rows}
-        parts, at = [np.zeros(8, np.uint8)], 64
+        parts, at = [np.zeros(1, np.uint64)], 1
         for r in rows:
-            self.bits[r["shard"]], self.at[r["shard"]] = r["bits"], at
-            parts.append(np.frombuffer(r["filter"], np.uint8))
-            at += r["bits"]
+            parts.append(np.frombuffer(r["filter"], np.uint64))
+            self.words[r["shard"]], self.at[r["shard"]] = len(parts[-1]), at
+            at += len(parts[-1])
         self.on = np.concatenate(parts)
 
     def levels(self, h: np.ndarray, among: np.ndarray | None = None, most: int = 200) -> np.ndarray:
         """Level of each n-gram, 0 if it isn't a member; only `among` are looked up."""
         out = np.zeros(len(h), np.int64)
         alive = np.arange(len(h)) if among is None else np.flatnonzero(among)
-        shard = ((h >> _U(40)) % _U(self.shards)).astype(np.int64)
-        bits, base = self.bits[shard], self.at[shard]
-        low = h & _U((1 << 40) - 1)
+        low = h[alive]
+        shard = ((low >> _U(40)) % _U(self.shards)).astype(np.int64)
+        words, base = self.words[shard], self.at[shard]
+        low &= _U((1 << 40) - 1)
         for j in range(1, most):
             if not len(alive):
                 break
-            x = mix(low[alive] + _U(j * 0x9E3779B97F4A7C15 % (1 << 64)))
-            a, b = x & _U(0xFFFFFFFF), (x >> _U(32)) | _U(1)
-            for i in range(PROBES):
-                p = ((a + b * _U(i)) % bits[alive]).astype(np.int64) + base[alive]
-                hit = (self.on[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
-                if not hit.all():
-                    alive, a, b = alive[hit], a[hit], b[hit]
+            hit = np.ones(len(alive), bool)
+            for at, bits in _probe(low, j, words):
+                hit &= self.on[at + base] & bits == bits
+            alive, low, words, base = alive[hit], low[hit], words[hit], base[hit]
             out[alive] = j
         return out
 
-    def log10(self, t: np.ndarray, first: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    def log10(self, t: np.ndarray, first: np.ndarray, total: int, distinct: int, exact):
         """log10 probability of each token after the two before it: a token's share of all tokens,
         as in the base score; then, at each longer context that was seen, the n-gram's least count
         and the shorter context's probability times BACKOFF, over the context's largest count and
-        BACKOFF. So probabilities add up to no more than 1, but for false members."""
-        grams, back = ngrams(t, first)
-        # Equal n-grams are looked up once.
-        names, where = np.unique(grams[1], return_inverse=True)
-        lv = self.levels(names)
-        low, high = (x[where] for x in bounds(lv, 1))
+        BACKOFF. So probabilities add up to no more than 1, but for false members. Counts in
+        `exact` (hashes, counts) go before the filter's. Also which tokens those are, and their
+        base score."""
+        names, where = np.unique(t, return_inverse=True)  # a token is looked up once
+        at = np.minimum(np.searchsorted(exact[0], names), len(exact[0]) - 1)
+        hit = exact[0][at] == names
+        low, high = bounds(self.levels(mix(names ^ _TAG[1]), ~hit), 1)
         mid = np.where(high > low, np.sqrt(low * high), low)
+        low, high, mid = (np.where(hit, exact[1][at], x)[where] for x in (low, high, mid))
         p = (mid + 0.5) / (total + 0.5 * (distinct + 1))
+        base = np.where(hit[where], np.log10(p), 0.0)
+        grams, _ = ngrams(t, first)
         context = np.empty_like(high)
         context[1:] = high[:-1]
-        start = np.zeros(len(t), bool)
-        start[first[:-1]] = True
-        context[start] = first.size - 1 and self.starts
+        context[first[:-1]] = self.starts
         two = self.levels(grams[2], (low > 0) & (context > 0))
         low2, high2 = bounds(two, 2)
         low2 = np.minimum(low2, np.maximum(low, 1))
         p = np.where(context > 0, (low2 + BACKOFF[2] * p) / (np.maximum(context, low2) + BACKOFF[2]), p)
         context = np.zeros_like(high)
         context[1:] = high2[:-1]
-        context[start] = 0
+        context[first[:-1]] = 0
         three = self.levels(grams[3], (two > 0) & (context > 0))
         low3 = np.minimum(bounds(three, 3)[0], np.maximum(low2, 1))
         p = np.where(context > 0, (low3 + BACKOFF[3] * p) / (np.maximum(context, low3) + BACKOFF[3]), p)
-        return np.log10(p)
+        return np.log10(p), base, hit[where]
 
 
 def _vocabulary(batches):
-    """Tokens of the training texts that a task reads, counted; null is the end."""
-    counts: dict = {}
+    """Hashes of the tokens of the training texts that a task reads, counted."""
+    held, size = [], 0
+
+    def flush():
+        h, n = _counted(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "c"])
+
     for batch in batches:
         for _, data, offsets in slices(batch.column(0)):
-            w = Words(data, offsets, SPACED)
-            at, n = np.unique(w.hashes, return_index=True, return_counts=True)[1:]
-            for i, c in zip(at.tolist(), n.tolist()):
-                word = w.word(i).lower()
-                counts[word] = counts.get(word, 0) + c
-            if len(counts) > AT_ONCE // 8:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-                counts = {}
-            counts[None] = counts.get(None, 0) + len(offsets) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-
-
-def _score(model, exact, total: int, distinct: int):
+            held.append(tokens(Words(data, offsets, SPACED))[0])
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield flush()
+                held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _score(model, shared, total: int, distinct: int):
     """Scores by the filter; of the base score, the part of the tokens whose counts are broadcast;
     and the other tokens, with how often each is in the text."""
 
     def run(batches):
-        known_hash, known_count = received(exact)
-        filled = received(model)
-        size = total + 0.5 * (distinct + 1)
+        exact, filled = received(shared), received(model)
         for batch in batches:
             out = {k: [] for k in ("tokens", "score", "base", "known", "rare", "times")}
             for _, data, offsets in slices(batch.column(2)):
-                w = Words(data, offsets, SPACED)
-                t, first = tokens(w)
+                t, first = tokens(Words(data, offsets, SPACED))
+                p, base, hit = filled.log10(t, first, total, distinct, exact)
                 out["tokens"].append(np.diff(first))
-                out["score"].append(sums(filled.log10(t, first, total, distinct), first))
-                at = np.minimum(np.searchsorted(known_hash, t), len(known_hash) - 1)
-                hit = known_hash[at] == t
-                out["base"].append(sums(np.where(hit, np.log10((known_count[at] + 0.5) / size), 0.0), first))
+                out["score"].append(sums(p, first))
+                out["base"].append(sums(base, first))
                 out["known"].append(sums(hit, first).astype(np.int64))
-                for i in range(len(offsets) - 1):
-                    a = int(w.first[i])
-                    own, times = np.unique(w.hashes[a : w.first[i + 1]][~hit[first[i] : first[i + 1] - 1]], return_counts=True) if w.first[i + 1] > a else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                    own, times = np.unique(t[a:b][~hit[a:b]], return_counts=True)
                     out["rare"].append(own.view(np.int64))
                     out["times"].append(times.astype(np.int32))
             cat = lambda k, t: pa.array(np.concatenate(out[k]) if out[k] else [], t)
@@ -276,20 +278,14 @@ def _score(model, exact, total: int, distinct: int):
     return run
 
 
-def _hashes(batches):
-    for batch in batches:
-        h = np.concatenate([np.zeros(0, np.uint64), *(Words(data, offsets, SPACED).hashes for _, data, offsets in slices(batch.column(0)))])
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1)], ["h", "c"])
-
-
 def build(texts: DataFrame, total: int, max_bits: int = MAX_BITS) -> Filter:
     """The filter of all n-grams of `texts` (one column). Tasks add up what they read and send it
     in shards by hash, as many as `total`, the number of tokens, asks for to hold a shard in
     memory; each shard becomes its part of the filter where it is, and only filters come to the
     driver, `max_bits` at most."""
-    shards = max(8, -(-total * ORDER // (2 * AT_ONCE)))
+    shards = max(8, -(-total * ORDER // (AT_ONCE // 2)))
     packed = texts.mapInArrow(_count(shards), "shard int, ord int, h binary, few binary, many binary")
-    parts = packed.groupBy("shard").applyInArrow(_shard(max_bits // shards), "shard int, bits bigint, filter binary, cut array<bigint>")
+    parts = packed.groupBy("shard").applyInArrow(_shard(max_bits // shards), "shard int, filter binary, cut array<bigint>")
     return Filter(shards, parts.collect())
 
 
@@ -298,7 +294,7 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     by a model of the documents for which `train` holds.
 
     Texts are lower-cased (A-Z) and split into words [^\\x20\\x09-\\x0D]+, then one end. All
-    n-grams up to ORDER of all training texts are counted; the model is a Bloom filter that holds
+    n-grams up to ORDER of all training texts are counted, by 64-bit hashes; the model is a Bloom filter that holds
     each with its level, the logarithm of its count, as members (n-gram, 1) to (n-gram, level).
     The base score needs exact counts: those of frequent tokens are broadcast, at most 1 / HEAVY
     of them; the others meet their documents in a join, once for each document and token.
@@ -310,22 +306,22 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), (~train).alias("held_out"), F.col(text).alias("text"))
     learn = rows.where("not held_out").select("text")
-    counts = scratch.save(learn.mapInArrow(_vocabulary, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c")))
-    told = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("token").isNull(), F.col("c"))).alias("ends")).first()
-    total, distinct, ends = told["n"] or 0, told["v"] if told["n"] else 0, told["ends"] or 0
-    words = scratch.save(counts.where("token is not null").mapInArrow(_hashes, "h bigint, c bigint"))
-    heavy = words.where(F.col("c") >= max(1.0, total * HEAVY)).toPandas()
-    hashes = np.append(heavy["h"].to_numpy(np.int64).view(np.uint64), _END)
-    order = np.argsort(hashes)
-    exact = ship(spark, (hashes[order], np.append(heavy["c"].to_numpy(np.int64), ends)[order]))
+    words = scratch.save(learn.mapInArrow(_vocabulary, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
+    told = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == int(_END.astype(np.int64)), F.col("c"))).alias("ends")).first()
+    total, distinct, ends = told["n"] or 0, told["v"], told["ends"] or 0
+    least = max(1.0, total * HEAVY)
+    heavy = words.where(F.col("c") >= least).orderBy(F.col("h") < 0, "h").toPandas()
+    hashes, counts = heavy["h"].to_numpy(np.int64).view(np.uint64), heavy["c"].to_numpy(np.int64).astype(np.float64)
+    exact = ship(spark, (hashes, counts) if total else (np.array([_END]), np.zeros(1)))
     model = build(learn, total, max_bits)
     model.starts = float(ends)
     model = ship(spark, model)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, score double, base double, known bigint, rare array<bigint>, times array<int>"
     schema = schema.replace("bigint", rows.schema["doc_id"].dataType.simpleString(), 1)
+    scratch.free()
     scored = scratch.save(rows.mapInArrow(_score(model, exact, total, distinct), schema).withColumn("row", F.monotonically_increasing_id()))
     light = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    light = light.join(words.where(F.col("c") < max(1.0, total * HEAVY)), F.col("token") == F.col("h"), "left")
+    light = light.join(words.where(F.col("c") < F.lit(least)), F.col("token") == F.col("h"), "left")
     size = float(total + 0.5 * (distinct + 1))
     part = F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(size))
     light = light.groupBy("row").agg(F.sum(part).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
