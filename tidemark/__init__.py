@@ -1 +1,10 @@
-"""Point-in-time movement analytics on Spark."""
+"""Point-in-time movement analytics on Spark.
+
+Functions that run on executors travel by value, so the package need not be installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,4 +1,6 @@
 """Queries over the driver's tables and the SQL that must agree with them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import domain, series
+
+QUERIES = series.QUERIES | domain.QUERIES
+SQL = series.SQL | domain.SQL

@@ -1 +1,205 @@
-"""See the README."""
+"""Readers and writers."""
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Names that columns of raw files go by.
+ALIASES = {
+    "timestamp": ("# timestamp", "timestamp", "time"), "mobile_type": ("type of mobile", "mobile type"), "mmsi": ("mmsi",), "lat": ("latitude", "lat"), "lon": ("longitude", "lon"),
+    "nav_status": ("navigational status", "nav status"), "rot": ("rot",), "sog": ("sog",), "cog": ("cog",), "heading": ("heading",), "imo": ("imo",), "callsign": ("callsign", "call sign"), "name": ("name",),
+    "ship_type": ("ship type",), "cargo_type": ("cargo type",), "width": ("width",), "length": ("length",), "pos_fix_type": ("type of position fixing device", "position fix type"), "draught": ("draught",),
+    "destination": ("destination",), "eta": ("eta",), "data_source": ("data source type", "data source"), "a": ("a", "size a"), "b": ("b", "size b"), "c": ("c", "size c"), "d": ("d", "size d"),
+}
+REQUIRED = ("timestamp", "mmsi", "lat", "lon")
+
+
+class Store:
+    """Tables under one root, each in folders dt=<day or other name> of Parquet files."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def exists(self, table: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def read(self, table: str, dt: str | None = None) -> DataFrame:
+        """All partitions, or the one; `dt` stays text, so days and names go together."""
+        df = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
+        if "dt" in df.columns:
+            df = df.withColumn("dt", F.col("dt").cast("string"))
+        return df if dt is None else df.where(F.col("dt") == dt)
+
+    def write(self, df: DataFrame, table: str, order: tuple = (), partition: str | None = "dt") -> None:
+        """Replaces the partitions that `df` has, or the whole table; readers see them complete, as
+        tasks commit to a folder of their own first. `order` clusters rows within files."""
+        out = (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "zstd")
+        if partition:
+            out = out.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
+        out.parquet(f"{self.root}/{table}")
+
+    def days(self, table: str) -> DataFrame:
+        return self.read(table).select("dt").distinct()
+
+
+def header_map(header: list) -> dict:
+    """{our name: position} of a raw file's header; raises where a required column is missing."""
+    known = {alias: name for name, all_ in ALIASES.items() for alias in all_}
+    at = {known[h]: i for i, h in reversed(list(enumerate(re.sub(r"\s+", " ", x.strip().strip('"').lower()) for x in header))) if h in known}
+    if missing := [n for n in REQUIRED if n not in at]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return at
+
+
+def sniff(sample: bytes):
+    """(encoding, delimiter) of a raw file's beginning."""
+    try:
+        sample.decode("utf-8-sig")
+        encoding = "utf-8-sig"
+    except UnicodeDecodeError as e:
+        encoding = "utf-8-sig" if e.start > len(sample) - 4 else "latin-1"
+    line = sample.decode(encoding, "replace").split("\n", 1)[0]
+    return encoding, max(",;\t|", key=line.count)
+
+
+def read_zipped_csv(spark: SparkSession, paths, chunk: int = 50_000) -> DataFrame:
+    """All csv members of zip archives as string columns under our names, with `file` and `bad`,
+    the number of malformed rows before (on each chunk's first row). A zip can't be split, so each
+    is one task, which reads it as a stream, `chunk` rows at a time."""
+    names = list(ALIASES)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+
+        for f in frames:
+            for path, content in zip(f["path"], f["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        if not member.lower().endswith((".csv", ".txt")):
+                            continue
+                        encoding, sep = sniff(z.open(member).read(64_000))
+                        lines = csv.reader(io.TextIOWrapper(z.open(member), encoding=encoding, errors="replace", newline=""), delimiter=sep)
+                        head = next(lines, [])
+                        at, rows, bad = header_map(head), [], 0
+
+                        def frame():
+                            out = pd.DataFrame(rows, columns=names, dtype=object).assign(file=path, bad=0)
+                            if len(out):
+                                out.loc[0, "bad"] = bad
+                            return out
+
+                        for line in lines:
+                            if len(line) != len(head):
+                                bad += 1
+                                continue
+                            rows.append([line[at[n]] if n in at else None for n in names])
+                            if len(rows) >= chunk:
+                                yield frame()
+                                rows, bad = [], 0
+                        if rows:
+                            yield frame()
+
+    schema = ", ".join(f"{n} string" for n in names) + ", file string, bad bigint"
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
+
+
+def read_csv(spark: SparkSession, path, columns: list | None = None, null: str = "-0-", **options) -> DataFrame:
+    """Headerless csv with given column names, or a csv with a header; `null` stands for null."""
+    reader = spark.read.options(nullValue=null, mode="PERMISSIVE", **options)
+    return reader.csv(path, schema=", ".join(f"`{c}` string" for c in columns)) if columns else reader.option("header", True).csv(path)
+
+
+def read_parties(spark: SparkSession, path: str) -> DataFrame:
+    """(party, profile, date, name) of XML parties and their dated entry events."""
+    parties = spark.read.format("xml").option("rowTag", "DistinctParty").schema("_FixedRef string, Profile struct<_ID:string>, Name string").load(path)
+    entries = spark.read.format("xml").option("rowTag", "SanctionsEntry").schema("_ProfileID string, EntryEvent array<struct<Date:struct<Year:int,Month:int,Day:int>>>").load(path)
+    dated = entries.select("_ProfileID", F.explode("EntryEvent").alias("e")).select("_ProfileID", F.expr("try_make_timestamp(e.Date.Year, e.Date.Month, e.Date.Day, 0, 0, 0)").cast("date").alias("date"))
+    return parties.join(dated, F.col("_FixedRef") == F.col("_ProfileID")).select(F.col("_FixedRef").alias("party"), F.col("Name").alias("name"), "date")
+
+
+def read_entities(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Vessels (id, number, name) and actions (entity, program, date, url) of JSON lines."""
+    rows = spark.read.schema("id string, schema string, properties map<string,array<string>>").json(path)
+    p = lambda n: F.col("properties")[n]
+    vessels = rows.where("schema = 'Vessel'").select("id", F.explode_outer(p("imoNumber")).alias("n"), F.get(p("name"), F.lit(0)).alias("name"))
+    vessels = vessels.select("id", F.regexp_replace("n", r"\D", "").try_cast("bigint").alias("number"), "name")
+    actions = rows.where("schema = 'Sanction'").select(F.explode(p("entity")).alias("entity"), F.get(p("programId"), F.lit(0)).alias("program"), F.try_to_date(F.get(p("startDate"), F.lit(0)), "yyyy-MM-dd").alias("date"), F.get(p("sourceUrl"), F.lit(0)).alias("url"))
+    return vessels, actions
+
+
+def read_events(spark: SparkSession, path) -> DataFrame:
+    """Nested event JSON as flat rows, one for each event id."""
+    schema = "id string, type string, start string, end string, position struct<lat:double,lon:double>, vessel struct<id:string,ssvid:string>, gap struct<durationHours:double,distanceKm:double>, encounter struct<vessel:struct<id:string,ssvid:string>>, port_visit struct<startAnchorage:struct<name:string,flag:string>>, loitering struct<totalTimeHours:double>"
+    e = spark.read.schema(schema).json(path)
+    t = lambda c: F.try_to_timestamp(F.regexp_replace(c, "Z$", "")).cast("timestamp_ntz")
+    flat = e.select(
+        F.col("id").alias("event_id"), "type", t("start").alias("start"), t("end").alias("observed_at"), "position.lat", "position.lon", F.col("vessel.id").alias("vessel_id"), F.col("vessel.ssvid").try_cast("bigint").alias("mmsi"),
+        F.col("gap.durationHours").alias("gap_hours"), F.col("gap.distanceKm").alias("gap_km"), F.col("encounter.vessel.id").alias("partner_id"), F.col("encounter.vessel.ssvid").try_cast("bigint").alias("partner_mmsi"),
+        F.col("port_visit.startAnchorage.name").alias("port"), F.col("port_visit.startAnchorage.flag").alias("port_country"), F.col("loitering.totalTimeHours").alias("loitering_hours"),
+    )
+    return flat.dropDuplicates(["event_id"])
+
+
+_DAY = re.compile(r"^\s*[•\-*]?\s*(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b")
+_HEAD = re.compile(r"(?i)\b(added|removed|changed|amended|deleted)\b")
+_ACTION = {"added": "add", "removed": "remove", "deleted": "remove", "changed": "modify", "amended": "modify"}
+_NUMBER = re.compile(r"(?i)\bIMO\s*(\d{7})\b")
+
+
+def parse_changes(text: str):
+    """(date, action, number, entry) of a text of dated changes: a line with a date sets the date,
+    a heading the action, and an entry runs over lines until the next one, a blank line or a
+    heading. `X -to- Y` of one entry is a change of X whatever the heading."""
+    date, action, entry, out = None, None, [], []
+
+    def flush():
+        whole = " ".join(entry)
+        entry.clear()
+        if whole and date:
+            kind = "modify" if "-to-" in whole else action
+            for n in dict.fromkeys(_NUMBER.findall(whole)):
+                if kind:
+                    out.append((date, kind, int(n), whole))
+
+    for line in text.splitlines():
+        if m := _DAY.match(line):
+            flush()
+            month, day, year = (int(x) for x in m.groups())
+            date = f"{year:04d}-{month:02d}-{day:02d}" if month <= 12 and day <= 31 else date
+            line = line[m.end() :]
+        if (m := _HEAD.search(line)) and line.rstrip().endswith(":"):
+            flush()
+            action = _ACTION[m[1].lower()]
+        elif not line.strip():
+            if not (entry and entry[-1].endswith("-to-")):
+                flush()
+        else:
+            entry.append(line.strip())
+            if line.rstrip().endswith((".", ";")):
+                flush()
+    flush()
+    return out
+
+
+def read_changes(spark: SparkSession, paths) -> DataFrame:
+    """Rows of parse_changes() of each text file: the state runs through a file, so a file is one
+    row of input."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, *r) for p, t in zip(f["path"], f["text"]) for r in parse_changes(t)]
+            yield pd.DataFrame(rows, columns=["path", "date", "action", "number", "entry"])
+
+    text = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return text.mapInPandas(run, "path string, date string, action string, number bigint, entry string").withColumn("date", F.to_date("date"))
+
+
+def write_bundle(df: DataFrame, path: str, name: str) -> None:
+    """One JSON document a row, split by column `name`."""
+    df.select(name, F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy(name).text(path)
