@@ -37,7 +37,9 @@ def ais(positions: DataFrame, at: DataFrame, lookback: int, gap_hours: float = 1
     """positions(mmsi, observed_at, event_id, sog)."""
     rows = known(positions, at, lookback)
     runs = sessionize(rows, _BY, "observed_at", "event_id", gap_hours * 3600)
-    return runs.groupBy(*_BY).agg(F.max("session").alias("n_transits"), F.count_distinct(F.to_date("observed_at")).alias("n_days_observed"), F.round(F.avg(F.when(F.col("sog") >= 3, F.col("sog"))), 6).alias("mean_transit_speed_kn"))
+    # a sum of decimals doesn't depend on the order of rows
+    speed = F.sum(F.when(F.col("sog") >= 3, F.col("sog").cast("decimal(18,6)"))).cast("double")
+    return runs.groupBy(*_BY).agg(F.max("session").alias("n_transits"), F.count_distinct(F.to_date("observed_at")).alias("n_days_observed"), F.round(speed / F.count(F.when(F.col("sog") >= 3, 1)), 6).alias("mean_transit_speed_kn"))
 
 
 def loads(positions: DataFrame, readings: DataFrame, at: DataFrame, lookback: int, gap_hours: float = 12.0) -> DataFrame:

@@ -110,7 +110,7 @@ wev AS (SELECT * FROM kev WHERE observed_at >= cutoff - {LOOKBACK}),
 f_pop AS (SELECT DISTINCT cutoff, entity FROM knn),
 isl AS (SELECT *, sum(new) OVER (PARTITION BY cutoff, entity ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
   SELECT *, CASE WHEN epoch_us(observed_at) - lag(epoch_us(observed_at)) OVER (PARTITION BY cutoff, entity ORDER BY observed_at, event_id) <= 43200000000 THEN 0 ELSE 1 END AS new FROM knn)),
-f_ais AS (SELECT cutoff, entity, CAST(max(session) AS BIGINT) AS n_transits, count(DISTINCT day) AS n_days_observed, round(avg(CASE WHEN sog >= 3 THEN sog END), 6) AS mean_transit_speed_kn FROM isl GROUP BY 1, 2),
+f_ais AS (SELECT cutoff, entity, CAST(max(session) AS BIGINT) AS n_transits, count(DISTINCT day) AS n_days_observed, round(CAST(sum(CASE WHEN sog >= 3 THEN CAST(sog AS DECIMAL(18,6)) END) AS DOUBLE) / count(*) FILTER (WHERE sog >= 3), 6) AS mean_transit_speed_kn FROM isl GROUP BY 1, 2),
 trn AS (SELECT cutoff, entity, session, CAST(min(observed_at) AS DATE) AS d0, CAST(max(observed_at) AS DATE) AS d1 FROM isl GROUP BY 1, 2, 3),
 dly AS (SELECT cutoff, entity, day, max(sog) AS deep FROM knn WHERE nav_status = 'click' AND sog > 0 GROUP BY 1, 2, 3),
 p75 AS (SELECT cutoff, entity, quantile_cont(deep, 0.75) AS p75 FROM dly GROUP BY 1, 2),

@@ -27,10 +27,10 @@ SESSIONS = """ses AS (SELECT *, sum(new) OVER (PARTITION BY mmsi ORDER BY observ
 
 
 @query(f"""WITH {POS}, {SESSIONS}
-SELECT mmsi, CAST(session AS BIGINT) AS session, min(observed_at) AS start_at, max(observed_at) AS end_at, count(*) AS n, round(avg(sog), 6) AS mean_sog FROM ses GROUP BY mmsi, session""")
+SELECT mmsi, CAST(session AS BIGINT) AS session, min(observed_at) AS start_at, max(observed_at) AS end_at, count(*) AS n, round(sum(sog), 2) AS sum_sog FROM ses GROUP BY mmsi, session""")
 def sessionize(spark, sf):
     s = T.sessionize(positions(spark, sf), "mmsi", "observed_at", "event_id", 12 * 3600.0)
-    return s.groupBy("mmsi", "session").agg(F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count("*").alias("n"), F.round(F.avg("sog"), 6).alias("mean_sog"))
+    return s.groupBy("mmsi", "session").agg(F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count("*").alias("n"), F.round(F.sum("sog"), 2).alias("sum_sog"))
 
 
 @query(f"""WITH {POS} SELECT event_id, mmsi, nav_status, day FROM (
