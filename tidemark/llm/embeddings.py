@@ -33,11 +33,17 @@ class Tables:
     def __init__(self, x: np.ndarray, threshold: float, width: int):
         """x: unit rows. Rotations of principal components alternate with the signs that they give
         until the codes are balanced; each gives one bit a dimension. Tables are added until pairs
-        at the threshold, made from the sample, share a key in RECALL of all cases."""
+        at the threshold, made from the sample, share a key in RECALL of all cases. Rows are
+        centred first, which balances bits; where most rows are so close to the mean that this
+        hides pairs, they are not, and bits depend on angles alone."""
+        self.width = max(1, min(width, x.shape[1]))
+        if not self._fit(x, x.mean(axis=0), threshold):
+            self._fit(x, np.zeros(x.shape[1]), threshold)
+
+    def _fit(self, x: np.ndarray, mean: np.ndarray, threshold: float) -> bool:
         rng = np.random.default_rng(_SEED)
         d = x.shape[1]
-        self.width = width = max(1, min(width, d))
-        self.mean = x.mean(axis=0)
+        self.mean = mean
         v, axes = x - self.mean, np.eye(d)
         if len(x) > 1:
             axes = np.linalg.eigh(v.T @ v)[1][:, ::-1]
@@ -56,7 +62,8 @@ class Tables:
             a, b = self._keys(v @ r), self._keys(near @ r)
             missed &= (a != b).all(axis=1)
             if missed.mean() <= 1 - RECALL:
-                break
+                return True
+        return False
 
     def _keys(self, y: np.ndarray) -> np.ndarray:
         w, n = self.width, y.shape[1] // self.width

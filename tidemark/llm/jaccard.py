@@ -14,6 +14,10 @@ from .text import SPACED, Words, mix, slices
 
 #: Slots (as a power of two) of the table of how frequent shingles are; it only orders shingles.
 SKETCH_BITS = 22
+#: Meetings that make a slot frequent, and frequent slots that are broadcast at most, the foremost.
+OFTEN, LISTED = 16, 1 << 19
+#: Shingles that a task sorts at a time.
+AT_ONCE = 4_000_000
 #: Rows of a key list (16 bytes each) up to which it is broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 500_000
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64))
@@ -84,16 +88,30 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def _sketch(k: int, bits: int):
+    """How often a task meets shingles that it meets again, by slot."""
+
     def run(batches):
-        counts, seen = np.zeros(1 << bits, np.uint32), 0
+        held, size = [], 0
+
+        def flush():
+            h = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n = np.diff(np.append(at, len(h)))
+            slot = (h[at[n > 1]] >> np.uint64(64 - bits)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))[: len(slot)]
+            total = np.add.reduceat(n[n > 1], first) if len(first) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(slot[first], pa.int32()), pa.array(total, pa.int64())], ["slot", "n"])
+
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 for s in shingle_sets(Words(data, offsets, SPACED), k):
-                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-                    seen += len(s)
-        mean = seen / len(counts)
-        slot = np.flatnonzero(counts > mean + 6 * mean**0.5 + 6)  # chance alone fills no slot so far
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(counts[slot], pa.int64())], ["slot", "n"])
+                    held.append(s)
+                    size += len(s)
+                if size >= AT_ONCE:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
     return run
 
@@ -201,8 +219,9 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     scratch = scratch or Scratch(spark)
     light = boundary(percent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
-    often = rows.select("text").mapInArrow(_sketch(k, sketch_bits), "slot int, n bigint").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
-    levels = ship(spark, (often["slot"].to_numpy(np.int64), often["level"].to_numpy(np.uint8)))
+    often = rows.select("text").mapInArrow(_sketch(k, sketch_bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    often = often.orderBy(F.desc("n"), "slot").limit(LISTED).select("slot", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
+    levels = ship(spark, (often["slot"].to_numpy(), often["level"].to_numpy()))
     sets = scratch.save(rows.mapInArrow(_sets(k, percent, light, sketch_bits, levels), "doc_id bigint, tk bigint, n bigint, sign bigint, tokens array<bigint>, bits binary"))
     own = scratch.save(sets.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("least"), F.min("tk").alias("tk"), F.max("n").alias("n")))
 

@@ -11,7 +11,7 @@ from .text import SPACED, Words, mix, slices, sums
 #: Longest n-grams that are counted.
 ORDER = 3
 #: Levels of a count per doubling, by order: a token's own count is wanted finer.
-STEPS = {1: 4, 2: 1, 3: 1}
+STEPS = {1: 4, 2: 2, 3: 2}
 #: Bits of the whole filter at most: what is broadcast to a worker is at most 64 MB.
 MAX_BITS = 1 << 29
 #: Bits of the filter for each member. A lookup probes four bits in each of two words.
@@ -68,23 +68,25 @@ def level(count: np.ndarray, order: int) -> np.ndarray:
 
 
 def bounds(level: np.ndarray, order: int):
-    """Least and largest whole count of each level; 0 for level 0."""
+    """Least whole count of each level and the (geometric) middle; 0 for level 0."""
     low = np.ceil(2.0 ** ((level - 1) / STEPS[order]) - 1e-6)
     high = np.maximum(low, np.ceil(2.0 ** (level / STEPS[order]) - 1e-6) - 1)
-    return np.where(level > 0, low, 0.0), np.where(level > 0, high, 0.0)
+    return np.where(level > 0, low, 0.0), np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
 def _pack(h: np.ndarray, n: np.ndarray, shards: int, order: int):
     """Rows (shard, order, hashes, counts): the low 40 bits of each hash, and counts of 255 and
     more spelled out."""
-    shard = ((h >> _U(40)) % _U(shards)).astype(np.int64)
+    shard = ((h >> _U(40)) % _U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
     by = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[by], np.arange(shards + 1))
     low = (h & _U((1 << 40) - 1))[by].view(np.uint8).reshape(-1, 8)[:, :5]
-    few = np.minimum(n[by], 255).astype(np.uint8)
+    n = n[by]
+    few = np.minimum(n, 255).astype(np.uint8)
+    many = few == 255
     for s in np.flatnonzero(np.diff(ends)).tolist():
         a, b = ends[s], ends[s + 1]
-        yield s, order, low[a:b].tobytes(), few[a:b].tobytes(), n[by][a:b][few[a:b] == 255].astype(np.int64).tobytes()
+        yield s, order, low[a:b].tobytes(), few[a:b].tobytes(), n[a:b][many[a:b]].astype(np.int64).tobytes()
 
 
 def _unpack(hashes: bytes, few: bytes, many: bytes):
@@ -202,28 +204,27 @@ class Filter:
     def log10(self, t: np.ndarray, first: np.ndarray, total: int, distinct: int, exact):
         """log10 probability of each token after the two before it: a token's share of all tokens,
         as in the base score; then, at each longer context that was seen, the n-gram's least count
-        and the shorter context's probability times BACKOFF, over the context's largest count and
-        BACKOFF. So probabilities add up to no more than 1, but for false members. Counts in
-        `exact` (hashes, counts) go before the filter's. Also which tokens those are, and their
+        and the shorter context's probability times BACKOFF, over the context's count, in the
+        middle of its level, and BACKOFF. So probabilities add up to 1 or less as far as levels are
+        exact. Counts in `exact` (hashes, counts) go before the filter's. Also which tokens those are, and their
         base score."""
         names, where = np.unique(t, return_inverse=True)  # a token is looked up once
         at = np.minimum(np.searchsorted(exact[0], names), len(exact[0]) - 1)
         hit = exact[0][at] == names
-        low, high = bounds(self.levels(mix(names ^ _TAG[1]), ~hit), 1)
-        mid = np.where(high > low, np.sqrt(low * high), low)
-        low, high, mid = (np.where(hit, exact[1][at], x)[where] for x in (low, high, mid))
+        low, mid = bounds(self.levels(mix(names ^ _TAG[1]), ~hit), 1)
+        low, mid = (np.where(hit, exact[1][at], x)[where] for x in (low, mid))
         p = (mid + 0.5) / (total + 0.5 * (distinct + 1))
         base = np.where(hit[where], np.log10(p), 0.0)
         grams, _ = ngrams(t, first)
-        context = np.empty_like(high)
-        context[1:] = high[:-1]
+        context = np.empty_like(mid)
+        context[1:] = mid[:-1]
         context[first[:-1]] = self.starts
         two = self.levels(grams[2], (low > 0) & (context > 0))
-        low2, high2 = bounds(two, 2)
+        low2, mid2 = bounds(two, 2)
         low2 = np.minimum(low2, np.maximum(low, 1))
         p = np.where(context > 0, (low2 + BACKOFF[2] * p) / (np.maximum(context, low2) + BACKOFF[2]), p)
-        context = np.zeros_like(high)
-        context[1:] = high2[:-1]
+        context = np.zeros_like(mid)
+        context[1:] = mid2[:-1]
         context[first[:-1]] = 0
         three = self.levels(grams[3], (two > 0) & (context > 0))
         low3 = np.minimum(bounds(three, 3)[0], np.maximum(low2, 1))
@@ -310,9 +311,9 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     told = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == int(_END.astype(np.int64)), F.col("c"))).alias("ends")).first()
     total, distinct, ends = told["n"] or 0, told["v"], told["ends"] or 0
     least = max(1.0, total * HEAVY)
-    heavy = words.where(F.col("c") >= least).orderBy(F.col("h") < 0, "h").toPandas()
-    hashes, counts = heavy["h"].to_numpy(np.int64).view(np.uint64), heavy["c"].to_numpy(np.int64).astype(np.float64)
-    exact = ship(spark, (hashes, counts) if total else (np.array([_END]), np.zeros(1)))
+    heavy = words.where(F.col("c") >= least).orderBy(F.col("h") < 0, "h").toArrow()
+    hashes, counts = heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy().astype(np.float64)
+    exact = ship(spark, (hashes, counts) if total else (np.zeros(1, np.uint64), np.zeros(1)))
     model = build(learn, total, max_bits)
     model.starts = float(ends)
     model = ship(spark, model)

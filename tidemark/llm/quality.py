@@ -69,9 +69,9 @@ def _count(batches):
 
 def counts(texts: DataFrame) -> np.ndarray:
     """How often each bucket is in all of `texts` (one column); tasks add up before they send."""
-    found = texts.mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.float64)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"]
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -164,7 +164,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     learned = sample(docs, labels, target, scratch, rows=rows, doc_id=doc_id, text=text)
     table = ratios(counts(learned.where("label = 1").select("text")), counts(docs.select(F.col(f"`{text}`").alias("text"))))
     values = ship(spark, table)
-    told = _weighed(learned, values, "label", "text", ["label"]).select("label", "__tm_score").toPandas()
+    told = _weighed(learned, values, "label", "text", ["label"]).select("label", "__tm_score").toArrow()
     cut = threshold(told["__tm_score"].to_numpy(), told["label"].to_numpy() == 1)
     keep = list(docs.columns if keep is None else keep)
     scored = _weighed(docs, values, doc_id, text, keep)

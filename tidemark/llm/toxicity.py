@@ -202,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     both, rate = F.col("bad") + F.col("good"), bad / n
     # how much likelier the labels of the texts with the feature are at their own rate of toxic ones
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (both * F.lit(rate))) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * F.lit(1 - rate)))).otherwise(0.0))
-    chosen = seen.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.col("bad") >= PURE * both)).orderBy(F.desc("gain"), "f").limit(FEATURES).toPandas()
-    names = np.sort(chosen["f"].to_numpy(np.int64).view(np.uint64))
+    chosen = seen.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.col("bad") >= PURE * both)).orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").toArrow()
+    names = np.sort(chosen["f"].to_numpy().view(np.uint64))
     shared = ship(spark, Model(names, np.zeros(len(names)), 0.0))
     rows_ = told.mapInArrow(_active(shared, identities), "label int, own array<bigint>, kind array<bigint>, swap array<bigint>").toArrow()
     # the order of rows is no part of the model
