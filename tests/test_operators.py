@@ -216,7 +216,7 @@ def test_day_tables(spark):
     raw += [line(0, 1, 55.0), ("bad", "Class A", "1", "x", "y", "", "", "", "", "AIS"), line(70, 1, 0.0)[:4] + ("0.0",) + line(70, 1, 0.0)[5:]]
     t = I.day_tables(spark.createDataFrame(raw, "timestamp string, mobile_type string, mmsi string, lat string, lon string, sog string, ship_type string, length string, draught string, data_source string"))
     assert rows(t["vessel_day"], "mmsi", "n_rows", "n_bad_positions", "kept") == [(1, 61, 1, True), (2, 5, 0, False)]
-    assert t["dynamic"].count() == 60 and rows(t["static"], "draught") == [(10.0,), (14.0,)]
+    assert t["dynamic"].count() == 60 and rows(t["static"], "draught") == [(10.0,), (10.0,), (14.0,)]
     assert {r[0] for r in rows(t["static"], "mmsi")} == {1}
 
 

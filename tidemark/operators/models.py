@@ -48,7 +48,8 @@ def boosted(train: DataFrame, test: DataFrame, features: list, seeds=(1, 2, 3))
         x = x.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
     out = design(test, features)
     for s in seeds:
-        m = GBTClassifier(featuresCol="x", weightCol="weight", validationIndicatorCol="held", maxIter=40, maxDepth=4, stepSize=0.1, seed=s, predictionCol=f"_p{s}", rawPredictionCol=f"_r{s}", probabilityCol=f"_q{s}").fit(x)
+        m = GBTClassifier(featuresCol="x", weightCol="weight", validationIndicatorCol="held", maxIter=40, maxDepth=4, stepSize=0.1, seed=s).fit(x)
+        m.setPredictionCol(f"_p{s}").setRawPredictionCol(f"_r{s}").setProbabilityCol(f"_q{s}")
         out = m.transform(out).withColumn(f"_s{s}", F.element_at(vector_to_array(f"_q{s}"), 2))
     return out.select(*test.columns, (sum((F.col(f"_s{s}") for s in seeds), F.lit(0.0)) / len(seeds)).alias("score"))
 
