@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL that must agree with them."""
 
-from . import domain, series
+from . import domain, more, series
 
-QUERIES = series.QUERIES | domain.QUERIES
-SQL = series.SQL | domain.SQL
+QUERIES = series.QUERIES | domain.QUERIES | more.QUERIES
+SQL = series.SQL | domain.SQL | more.SQL
