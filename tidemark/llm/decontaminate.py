@@ -265,3 +265,19 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.array_sort("__tm_items")), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+OP2_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS MATERIALIZED (SELECT DISTINCT k, least(13, len(w)) AS n, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS s FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(p) WHERE len(w) > 0),
+dw AS (SELECT rid, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM iw) z, unnest(range(1, len(w) - n + 2)) t(p)),
+hit AS MATERIALIZED (SELECT dw.rid, dw.p, dw.n, iw.k FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
+hw AS (SELECT rid, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + n)) t(q) GROUP BY rid),
+hi AS (SELECT rid, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS sha FROM (SELECT DISTINCT rid, k FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
+"""

@@ -195,3 +195,18 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER () AS rid, CAST(embedding AS DOUBLE[]) AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+l AS MATERIALIZED (
+  SELECT a.rid AS u, b.rid AS v FROM d a JOIN d b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND CASE WHEN a.ok AND b.ok THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END),
+r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT d.rid, least(d.vec_id, min(o.vec_id)) AS m FROM d JOIN r ON r.u = d.rid JOIN d o ON o.rid = r.v GROUP BY d.rid, d.vec_id)
+SELECT vec_id, coalesce(k, 0) AS n_links, CAST(coalesce(m, vec_id) AS BIGINT) AS component_id, coalesce(vec_id = coalesce(m, vec_id), false) AS kept
+FROM d LEFT JOIN (SELECT u AS rid, count(*) AS k FROM l GROUP BY u) USING (rid) LEFT JOIN c USING (rid)
+"""

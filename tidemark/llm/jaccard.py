@@ -314,3 +314,17 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classes(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[p : p + 4], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(p) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS u, b.rid AS v, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * common >= 80 * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, (SELECT min(o.doc_id) FROM r JOIN d o ON o.rid = r.v WHERE r.u = d.rid)) AS component_id
+FROM d LEFT JOIN n USING (rid)
+"""

@@ -12,8 +12,8 @@ from .text import SPACED, Words, mix, slices, sums
 ORDER = 3
 #: Levels of a count per doubling, by order: a token's own count is wanted finer.
 STEPS = {1: 4, 2: 2, 3: 2}
-#: Bits of the whole filter at most: what is broadcast to a worker is at most 64 MB.
-MAX_BITS = 1 << 29
+#: Bits of the whole filter at most: what is broadcast to a worker is at most 32 MB.
+MAX_BITS = 1 << 28
 #: Bits of the filter for each member. A lookup probes four bits in each of two words.
 BITS_EACH = 14
 #: n-grams that one task adds up at a time, on either side of the shuffle.

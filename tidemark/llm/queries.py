@@ -1,10 +1,10 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from .chat import op1_chat_format
-from .decontaminate import op2_decontaminate
-from .embeddings import op8_embedding_dedup
+from .decontaminate import OP2_SQL, op2_decontaminate
+from .embeddings import OP8_SQL, op8_embedding_dedup
 from .html import op10_html_extract
-from .jaccard import op6_jaccard_join
+from .jaccard import OP6_SQL, op6_jaccard_join
 from .lm import op5_lm_score
 from .mixing import OP3_SQL, op3_mix
 from .quality import op4_quality
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
 }
 
-SQL = {"op3_mix": OP3_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op2_decontaminate": OP2_SQL, "op3_mix": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -37,6 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.n = 0
+        _OWN.setdefault("bases", []).append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -61,6 +62,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the written tables of this process from the shared folder. Results read them
+    lazily, so only when no result is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for base in _OWN.pop("bases", []):
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(conf).delete(path, True)
+
+
 @atexit.register
 def _clean() -> None:
     import shutil
