@@ -16,6 +16,8 @@ from .text import SPACED, Words, mix, slices
 SKETCH_BITS = 22
 #: Meetings that make a slot frequent, and frequent slots that are broadcast at most, the foremost.
 OFTEN, LISTED = 16, 1 << 19
+#: Sets up to which a list is joined with itself; longer lists are compared in blocks of sets.
+LIST, BLOCK = 32, 2048
 #: Shingles that a task sorts at a time.
 AT_ONCE = 4_000_000
 #: Rows of a key list (16 bytes each) up to which it is broadcast; longer lists are shuffled.
@@ -194,6 +196,86 @@ def _compare(percent: int):
     return run
 
 
+def _halves(table: pa.Table):
+    """Rows of a block by position, and the positions of its two sides."""
+    own = table.column("own").to_numpy()
+    return np.flatnonzero(own == table.column("a")[0].as_py()), np.flatnonzero(own == table.column("b")[0].as_py())
+
+
+def _hoped(n: np.ndarray, maps: list, left: np.ndarray, right: np.ndarray, percent: int):
+    """(i, positions on the right that may link with i, as far as sizes and bitmaps tell)."""
+    size = np.array([len(m) for m in maps])
+    table = {}
+
+    def at(rows, length):
+        key = (id(rows), length)
+        if key not in table:
+            keep = rows[(size[rows] == length) | (size[rows] == 2 * length)]
+            flat = [np.frombuffer(maps[r], np.uint8) for r in keep]
+            flat = [f if len(f) == length else f[:length] ^ f[length:] for f in flat]
+            table[key] = keep, np.array(flat, np.uint8).reshape(len(keep), length).view(np.uint64)
+        return table[key]
+
+    for i in left.tolist():
+        found = [np.zeros(0, np.int64)]
+        for length in {size[i], size[i] // 2}:
+            if length < 8:
+                continue
+            rows, bits = at(right, length)
+            own = np.frombuffer(maps[i], np.uint8)
+            own = (own if len(own) == length else own[:length] ^ own[length:]).view(np.uint64)
+            # sets of one size at their own length, others at the shorter one's
+            rows, bits = (rows, bits) if length == size[i] else (rows[size[rows] == length], bits[size[rows] == length])
+            differ = np.bitwise_count(bits ^ own).sum(axis=1, dtype=np.int64)
+            both = n[i] + n[rows]
+            found.append(rows[(both - differ) // 2 >= -(-percent * both // (100 + percent))])
+        yield i, np.concatenate(found)
+
+
+def _hopeful(percent: int):
+    """Members of a block that may link with one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _halves(table)
+        comp, keep = table.column("comp").to_numpy(), np.zeros(table.num_rows, bool)
+        for i, near in _hoped(table.column("n").to_numpy(), table.column("bits").to_pylist(), left, right, percent):
+            near = near[comp[near] != comp[i]]
+            if len(near):
+                keep[i] = keep[near] = True
+        return table.select(["token", "a", "b", "own", "sign", "comp"]).filter(pa.array(keep))
+
+    return run
+
+
+def _joining(percent: int):
+    """Links between components within a block, as few as join what links join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _halves(table)
+        sign, comp = table.column("sign").to_numpy(), table.column("comp").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("blob").to_pylist()]
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, near in _hoped(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], left, right, percent):
+            for j in near.tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(x, y)] = min(x, y)
+                        out.append((sign[i], sign[j]))
+        return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast where a count shows that it has few rows; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -208,8 +290,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     inverted lists of their rarest shingles (prefix filter; the order may be any, so an inexact
     table of frequent shingles gives it). In each list, sets of like size first meet one of their
     number only, and what that links is a component; then only sets of different components that
-    share a list meet. So groups of near copies cost no pairs among themselves, and no link
-    between components is missed. Of all that meet, parity bitmaps rule out pairs that differ too
+    share a list meet, those of long lists in blocks that list no pairs. So groups of near copies
+    cost no pairs among themselves, and no link between components is missed. Of all that meet, parity bitmaps rule out pairs that differ too
     much; the others are compared in full, on sets built from the texts.
 
     Null and empty texts, and those without words, have no shingles and are alone. Null ids count
@@ -240,15 +322,20 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     stars = met.where((c("sign") != c("hub.sign")) & possible(c("n"), c("hub.n"), c("pos"), c("hub.pos")))
     stars = scratch.save(stars.select("sign", c("hub.sign").alias("other")).distinct())
 
+    def maps_of(signs: DataFrame) -> DataFrame:
+        found = sets.where("bits is not null").select("sign", "n", "bits").join(small(signs), c("sign") == c("key"), "left_semi")
+        return scratch.save(found.dropDuplicates(["sign"]))
+
+    def blobs_of(signs: DataFrame) -> DataFrame:
+        need = signs.join(own, c("key") == c("sign")).select(c("tk").alias("need")).distinct()
+        texts = rows.join(small(need), c("tk") == c("need"), "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
+        return scratch.save(texts.select("text").mapInArrow(_blobs(k), "sign bigint, blob binary").dropDuplicates(["sign"]))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        signs = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-        maps = sets.where("bits is not null").select("sign", "n", "bits").join(small(signs), c("sign") == c("key"), "left_semi").dropDuplicates(["sign"])
-        maps = scratch.save(maps)
+        maps = maps_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
         near = pairs.join(maps.select(c("sign").alias("su"), c("n").alias("nu"), c("bits").alias("bu")), c("u") == c("su")).join(maps.select(c("sign").alias("sv"), c("n").alias("nv"), c("bits").alias("bv")), c("v") == c("sv"))
         near = scratch.save(near.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_plausible(percent), "u bigint, v bigint"))
-        need = near.select(F.explode(F.array("u", "v")).alias("sign")).distinct().join(own, "sign").select(F.col("tk").alias("key")).distinct()
-        texts = rows.join(small(need), c("tk") == c("key"), "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
-        blobs = scratch.save(texts.select("text").mapInArrow(_blobs(k), "sign bigint, blob binary").dropDuplicates(["sign"]))
+        blobs = blobs_of(near.select(F.explode(F.array("u", "v")).alias("key")).distinct())
         full = near.join(blobs.select(c("sign").alias("su"), c("blob").alias("bu")), c("u") == c("su")).join(blobs.select(c("sign").alias("sv"), c("blob").alias("bv")), c("v") == c("sv"))
         out = scratch.save(full.select("u", "v", "bu", "bv").mapInArrow(_compare(percent), "u bigint, v bigint"))
         scratch.drop(maps, near, blobs)
@@ -256,9 +343,9 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
 
     def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
         """Components after the links among `pairs`, which are between components, are added."""
-        if not pairs.limit(1).count():
-            return comp
-        links = verified(pairs)
+        return linked(comp, verified(pairs)) if pairs.limit(1).count() else comp
+
+    def linked(comp: DataFrame, links: DataFrame) -> DataFrame:
         if not links.limit(1).count():
             return comp
         side = lambda x: comp.select(c("node").alias(f"n{x}"), c("component").alias(f"c{x}"))
@@ -276,14 +363,31 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     more = more.join(side("u"), c("u") == c("nu"), "left").join(side("v"), c("v") == c("nv"), "left")
     more = scratch.save(more.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"))
     comp = joined(comp, more)
-    at = met.join(comp, c("sign") == c("node"), "left").select("token", "sign", "n", "pos", F.coalesce("component", "sign").alias("comp"))
-    split = at.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low < high").drop("low", "high")
-    split = scratch.save(split)
+
+    def lists(comp: DataFrame) -> DataFrame:
+        """Lists that sets of more than one component share, with their sizes."""
+        at = met.join(comp, c("sign") == c("node"), "left").select("token", "sign", "n", "pos", F.coalesce("component", "sign").alias("comp")).dropDuplicates(["token", "sign"])
+        at = at.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token), "size": F.count("*").over(token)})
+        return at.where("low < high").drop("low", "high")
+
+    # Short lists: all pairs of sets that are still apart.
+    split = scratch.save(lists(comp).where(c("size") <= LIST).drop("size"))
     a, b = split.select(*[c(x).alias(f"a_{x}") for x in split.columns]), split.select(*[c(x).alias(f"b_{x}") for x in split.columns])
     rest = a.join(b, (c("a_token") == c("b_token")) & (c("a_sign") < c("b_sign")) & (c("a_comp") != c("b_comp")) & possible(c("a_n"), c("b_n"), c("a_pos"), c("b_pos")))
     rest = scratch.save(rest.select(c("a_sign").alias("u"), c("b_sign").alias("v")).distinct().join(once.unionByName(more), ["u", "v"], "left_anti"))
     comp = joined(comp, rest)
-    scratch.drop(met, split)
+    # Long lists: blocks of sets against blocks, without listing pairs.
+    long = lists(comp).where(c("size") > LIST).withColumn("blocks", F.ceil(c("size") / BLOCK).cast("int"))
+    long = long.withColumn("own", F.pmod(F.xxhash64("sign"), c("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    long = scratch.save(long.select("token", "sign", "n", "comp", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")))
+    if long.limit(1).count():
+        maps = maps_of(long.select(c("sign").alias("key")).distinct()).select(c("sign").alias("key"), "bits")
+        hopeful = long.join(maps, c("sign") == c("key")).drop("key").groupBy("token", "a", "b").applyInArrow(_hopeful(percent), "token bigint, a int, b int, own int, sign bigint, comp bigint")
+        hopeful = scratch.save(hopeful)
+        blobs = blobs_of(hopeful.select(c("sign").alias("key")).distinct()).select(c("sign").alias("key"), "blob")
+        found = hopeful.join(blobs, c("sign") == c("key")).drop("key").groupBy("token", "a", "b").applyInArrow(_joining(percent), "u bigint, v bigint")
+        comp = linked(comp, scratch.save(found.distinct()))
+    scratch.drop(met, split, long)
     whole = own.join(comp, c("sign") == c("node"), "left").select("sign", F.coalesce("component", "sign").alias("comp"), "least")
     name = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
     name = whole.join(name, "comp").select(c("sign").alias("s"), "component_id")
