@@ -74,3 +74,39 @@ def test_empty_training(spark):
     out = {r.doc_id: r for r in L.score(docs, F.lit(False)).collect()}
     assert out[1].train_tokens == 0 and out[1].base_score == 0 and out[1].n_known == 0 and out[2].n_tokens == 1
     assert L.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_scores_hold_every_ngram_whatever_the_size(spark, monkeypatch):
+    """Scores are those of exact counts of all n-grams, and the model has no bound."""
+    monkeypatch.setattr(L, "AT_ONCE", 300)
+    monkeypatch.setattr(L, "PACK_BYTES", 400)
+    assert not hasattr(L, "MAX_BITS")
+    docs = DOCS[:60] + [(300 + i, f"once{i} twice{i} thrice{i}") for i in range(40)]
+    train = [(d, t) for d, t in docs if d % 5 != 1]
+    grams = lambda t: [tuple((["<s>"] * 2 + tokens(t))[i + 3 - n : i + 3] for n in (1, 2, 3)) for i in range(len(tokens(t)))]
+    c = Counter((n, *g) for _, t in train for x in grams(t) for n, g in enumerate(x, 1))
+    total, distinct = sum(v for k, v in c.items() if k[0] == 1), sum(k[0] == 1 for k in c)
+
+    def bound(n, g):
+        return [float(x[0]) for x in L.bounds(np.array([int(L.level(np.array([c[n, *g]]), n)[0]) if c[n, *g] else 0]), n)]
+
+    def want(t):
+        out = 0.0
+        for i, (one, two, three) in enumerate(grams(t)):
+            low = c[1, *one]  # all tokens are frequent here, so their counts are exact
+            p = (low + 0.5) / (total + 0.5 * (distinct + 1))
+            before = len(train) if i == 0 else c[1, *two[:1]]
+            if before:
+                low2 = min(bound(2, two)[0] if low else 0.0, max(low, 1))
+                p = (low2 + 100 * p) / (max(before, low2) + 100)
+                context = bound(2, three[:2])[1] if i > 0 else 0.0
+                if i > 0 and not (c[1, *three[1:2]] and (i == 1 or c[1, *three[:1]])):
+                    context = 0.0
+                if context:
+                    low3 = min(bound(3, three)[0] if low2 else 0.0, max(low2, 1))
+                    p = (low3 + 2 * p) / (max(context, low3) + 2)
+            out += math.log10(p)
+        return round(out, 6)
+
+    got = L.score(spark.createDataFrame(docs, "doc_id bigint, text string"), F.col("doc_id") % 5 != 1).collect()
+    assert {r.doc_id: round(r.score, 6) for r in got} == {d: want(t) for d, t in docs}

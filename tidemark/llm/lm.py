@@ -1,4 +1,6 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts."""
+"""Language-model scores from quantised n-gram counts that stay in shards."""
+
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,12 @@ from .text import SPACED, Words, mix, slices, sums
 ORDER = 3
 #: Levels of a count per doubling, by order: a token's own count is wanted finer.
 STEPS = {1: 4, 2: 2, 3: 2}
-#: Bits of the whole filter at most: what is broadcast to a worker is at most 32 MB.
-MAX_BITS = 1 << 28
 #: Bits of the filter for each member. A lookup probes four bits in each of two words.
 BITS_EACH = 14
 #: n-grams that one task adds up at a time, on either side of the shuffle.
 AT_ONCE = 4_000_000
+#: Bytes of text whose n-grams are looked up at a time.
+PACK_BYTES = 6 << 20
 #: Tokens with at least this share of all training tokens have their exact count broadcast, so
 #: there are at most 1 / HEAVY of them.
 HEAVY = 1 / 2_000_000
@@ -138,9 +140,9 @@ def _probe(h: np.ndarray, lv: int, words: np.ndarray):
         yield ((half * words) >> _U(32)).astype(np.int64), bits
 
 
-def _shard(most_bits: int):
-    """One shard's filter from all its counts. Where all levels would need more than `most_bits`,
-    counts below the least cutoff that fits are left to the shorter context, by order from the
+def _shard(most_bits: int | None):
+    """One shard's filter from all its counts. Where `most_bits` is given and all levels would
+    need more, counts below the least cutoff that fits are left to the shorter context, by order from the
     longest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -152,7 +154,7 @@ def _shard(most_bits: int):
         cut = dict.fromkeys(held, 1)
         need = lambda n: int(level(held[n][1][held[n][1] >= cut[n]], n).sum()) * BITS_EACH
         total = {n: need(n) for n in held}
-        while sum(total.values()) > most_bits:
+        while most_bits and sum(total.values()) > most_bits:
             n = max((n for n in held if total[n]), key=lambda n: (total[n] * (n > 1), n))
             cut[n] *= 2
             total[n] = need(n)
@@ -201,35 +203,33 @@ class Filter:
             out[alive] = j
         return out
 
-    def log10(self, t: np.ndarray, first: np.ndarray, total: int, distinct: int, exact):
-        """log10 probability of each token after the two before it: a token's share of all tokens,
-        as in the base score; then, at each longer context that was seen, the n-gram's least count
-        and the shorter context's probability times BACKOFF, over the context's count, in the
-        middle of its level, and BACKOFF. So probabilities add up to 1 or less as far as levels are
-        exact. Counts in `exact` (hashes, counts) go before the filter's. Also which tokens those are, and their
-        base score."""
-        names, where = np.unique(t, return_inverse=True)  # a token is looked up once
-        at = np.minimum(np.searchsorted(exact[0], names), len(exact[0]) - 1)
-        hit = exact[0][at] == names
-        low, mid = bounds(self.levels(mix(names ^ _TAG[1]), ~hit), 1)
-        low, mid = (np.where(hit, exact[1][at], x)[where] for x in (low, mid))
-        p = (mid + 0.5) / (total + 0.5 * (distinct + 1))
-        base = np.where(hit[where], np.log10(p), 0.0)
-        grams, _ = ngrams(t, first)
-        context = np.empty_like(mid)
-        context[1:] = mid[:-1]
-        context[first[:-1]] = self.starts
-        two = self.levels(grams[2], (low > 0) & (context > 0))
-        low2, mid2 = bounds(two, 2)
-        low2 = np.minimum(low2, np.maximum(low, 1))
-        p = np.where(context > 0, (low2 + BACKOFF[2] * p) / (np.maximum(context, low2) + BACKOFF[2]), p)
-        context = np.zeros_like(mid)
-        context[1:] = mid2[:-1]
-        context[first[:-1]] = 0
-        three = self.levels(grams[3], (two > 0) & (context > 0))
-        low3 = np.minimum(bounds(three, 3)[0], np.maximum(low2, 1))
-        p = np.where(context > 0, (low3 + BACKOFF[3] * p) / (np.maximum(context, low3) + BACKOFF[3]), p)
-        return np.log10(p), base, hit[where]
+
+def log10(levels, starts: float, t: np.ndarray, first: np.ndarray, total: int, distinct: int, exact):
+    """log10 probability of each token after the two before it: a token's share of all tokens,
+    as in the base score; then, at each longer context that was seen, the n-gram's least count
+    and the shorter context's probability times BACKOFF, over the context's count, in the
+    middle of its level, and BACKOFF. So probabilities add up to 1 or less as far as levels are
+    exact. `levels` has the level of every n-gram by order, 0 for one that training texts don't
+    have. Counts in `exact` (hashes, counts) go before levels. Also which tokens those are, and
+    their base score."""
+    at = np.minimum(np.searchsorted(exact[0], t), len(exact[0]) - 1)
+    hit = exact[0][at] == t
+    low, mid = (np.where(hit, exact[1][at], x) for x in bounds(levels[1], 1))
+    p = (mid + 0.5) / (total + 0.5 * (distinct + 1))
+    base = np.where(hit, np.log10(p), 0.0)
+    context = np.empty_like(mid)
+    context[1:] = mid[:-1]
+    context[first[:-1]] = starts
+    low2, mid2 = bounds(np.where((low > 0) & (context > 0), levels[2], 0), 2)
+    seen = low2 > 0
+    low2 = np.minimum(low2, np.maximum(low, 1))
+    p = np.where(context > 0, (low2 + BACKOFF[2] * p) / (np.maximum(context, low2) + BACKOFF[2]), p)
+    context = np.zeros_like(mid)
+    context[1:] = mid2[:-1]
+    context[first[:-1]] = 0
+    low3 = np.minimum(bounds(np.where(seen & (context > 0), levels[3], 0), 3)[0], np.maximum(low2, 1))
+    p = np.where(context > 0, (low3 + BACKOFF[3] * p) / (np.maximum(context, low3) + BACKOFF[3]), p)
+    return np.log10(p), base, hit
 
 
 def _vocabulary(batches):
@@ -251,52 +251,110 @@ def _vocabulary(batches):
         yield flush()
 
 
-def _score(model, shared, total: int, distinct: int):
-    """Scores by the filter; of the base score, the part of the tokens whose counts are broadcast;
-    and the other tokens, with how often each is in the text."""
+_ASKED = pa.schema([("pack", pa.int64()), *_PACKED])
 
-    def run(batches):
-        exact, filled = received(shared), received(model)
-        for batch in batches:
-            out = {k: [] for k in ("tokens", "score", "base", "known", "rare", "times")}
-            for _, data, offsets in slices(batch.column(2)):
-                t, first = tokens(Words(data, offsets, SPACED))
-                p, base, hit = filled.log10(t, first, total, distinct, exact)
-                out["tokens"].append(np.diff(first))
-                out["score"].append(sums(p, first))
-                out["base"].append(sums(base, first))
-                out["known"].append(sums(hit, first).astype(np.int64))
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    own, times = np.unique(t[a:b][~hit[a:b]], return_counts=True)
-                    out["rare"].append(own.view(np.int64))
-                    out["times"].append(times.astype(np.int32))
-            cat = lambda k, t: pa.array(np.concatenate(out[k]) if out[k] else [], t)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), cat("tokens", pa.int64()), cat("score", pa.float64()), cat("base", pa.float64()), cat("known", pa.int64()), pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "n_tokens", "score", "base", "known", "rare", "times"],
-            )
+
+def _ask(shards: int):
+    """The distinct n-grams of a pack of texts by shard, with their counts in its training texts,
+    0 for those that only held-out texts have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = {n: [] for n in range(1, ORDER + 1)}
+        flags = []
+        text, out = table.column("text").combine_chunks(), table.column("held_out").to_numpy()
+        for i, data, offsets in slices(text):
+            t, first = tokens(Words(data, offsets, SPACED))
+            flags.append(np.repeat(~out[i : i + len(first) - 1], np.diff(first)))
+            for n, h in ngrams(t, first)[0].items():
+                held[n].append(h)
+        learn = np.concatenate(flags).astype(np.int64)
+        rows = [r for n, parts in held.items() for r in _pack(*_counted(np.concatenate(parts), learn), shards, n)]
+        pack = table.column("pack")[0].as_py()
+        return pa.table([pa.array([pack] * len(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED))], schema=_ASKED)
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For one shard, with all counts of its n-grams: the level of each n-gram of each request, in
+    the order of the request."""
+    order, levels = np.array(table.column("ord").to_pylist()), [b""] * table.num_rows
+    for n in np.unique(order).tolist():
+        rows = np.flatnonzero(order == n).tolist()
+        parts = [_unpack(*(table.column(c)[i].as_py() for c in ("h", "few", "many"))) for i in rows]
+        h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        count = np.zeros(len(h), np.int64)
+        np.add.at(count, where, np.concatenate([p[1] for p in parts]))
+        all_ = np.where(count > 0, level(count, n), 0).astype(np.uint8)[where]
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
+        for i, a, b in zip(rows, ends, ends[1:]):
+            levels[i] = all_[a:b].tobytes()
+    return pa.table({"pack": table.column("pack"), "shard": table.column("shard"), "ord": table.column("ord"), "levels": pa.array(levels, pa.binary())})
+
+
+def _told(h: np.ndarray, shards: int, answers: list):
+    """Levels of the n-grams h of a pack, from the answers by ascending shard to what _ask sent."""
+    own, where = np.unique(h, return_inverse=True)
+    by = np.argsort((own >> _U(40)) % _U(shards), kind="stable")
+    levels = np.zeros(len(own), np.int64)
+    levels[by] = np.frombuffer(b"".join(answers), np.uint8)
+    return levels[where]
+
+
+def _score(shards: int, shared, starts: float, total: int, distinct: int):
+    """Scores of a pack of texts by the answers to its n-grams; of the base score, the part of the
+    tokens whose counts are broadcast; and the other tokens, with how often each is in the text."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        exact = received(shared)
+        parts = {n: [] for n in range(1, ORDER + 1)}
+        for _, n, x in sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "ord", "levels")))):
+            parts[n].append(x)
+        pieces = [tokens(Words(data, offsets, SPACED)) for _, data, offsets in slices(table.column("text").combine_chunks())]
+        grams = [ngrams(*x)[0] for x in pieces]
+        levels = {n: _told(np.concatenate([g[n] for g in grams]), shards, x) for n, x in parts.items()}
+        out = {k: [] for k in ("tokens", "score", "base", "known", "rare", "times")}
+        done = 0
+        for t, first in pieces:
+            p, base, hit = log10({n: x[done : done + len(t)] for n, x in levels.items()}, starts, t, first, total, distinct, exact)
+            done += len(t)
+            out["tokens"].append(np.diff(first))
+            out["score"].append(sums(p, first))
+            out["base"].append(sums(base, first))
+            out["known"].append(sums(hit, first).astype(np.int64))
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                own, times = np.unique(t[a:b][~hit[a:b]], return_counts=True)
+                out["rare"].append(own.view(np.int64))
+                out["times"].append(times.astype(np.int32))
+        cat = lambda k, t: pa.array(np.concatenate(out[k]), t)
+        return pa.table(
+            [table.column("doc_id"), table.column("held_out"), cat("tokens", pa.int64()), cat("score", pa.float64()), cat("base", pa.float64()), cat("known", pa.int64()), pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32()))],
+            ["doc_id", "held_out", "n_tokens", "score", "base", "known", "rare", "times"],
+        )
 
     return run
 
 
-def build(texts: DataFrame, total: int, max_bits: int = MAX_BITS) -> Filter:
+def build(texts: DataFrame, total: int, max_bits: int | None = None) -> Filter:
     """The filter of all n-grams of `texts` (one column). Tasks add up what they read and send it
     in shards by hash, as many as `total`, the number of tokens, asks for to hold a shard in
     memory; each shard becomes its part of the filter where it is, and only filters come to the
-    driver, `max_bits` at most."""
+    driver. They grow with the texts unless `max_bits` bounds them; score() doesn't use them."""
     shards = max(8, -(-total * ORDER // (AT_ONCE // 2)))
     packed = texts.mapInArrow(_count(shards), "shard int, ord int, h binary, few binary, many binary")
-    parts = packed.groupBy("shard").applyInArrow(_shard(max_bits // shards), "shard int, filter binary, cut array<bigint>")
+    parts = packed.groupBy("shard").applyInArrow(_shard(max_bits and max_bits // shards), "shard int, filter binary, cut array<bigint>")
     return Filter(shards, parts.collect())
 
 
-def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document,
     by a model of the documents for which `train` holds.
 
     Texts are lower-cased (A-Z) and split into words [^\\x20\\x09-\\x0D]+, then one end. All
-    n-grams up to ORDER of all training texts are counted, by 64-bit hashes; the model is a Bloom filter that holds
-    each with its level, the logarithm of its count, as members (n-gram, 1) to (n-gram, level).
+    n-grams up to ORDER of all training texts are counted, by hashes; the model is the level of
+    each, the logarithm of its count. None is left out and none comes to the driver: texts are dealt
+    to packs, each pack sends its distinct n-grams once to the shards that count them, and gets
+    their levels back, a byte each.
     The base score needs exact counts: those of frequent tokens are broadcast, at most 1 / HEAVY
     of them; the others meet their documents in a join, once for each document and token.
 
@@ -314,13 +372,18 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     heavy = words.where(F.col("c") >= least).orderBy(F.col("h") < 0, "h").toArrow()
     hashes, counts = heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy().astype(np.float64)
     exact = ship(spark, (hashes, counts) if total else (np.zeros(1, np.uint64), np.zeros(1)))
-    model = build(learn, total, max_bits)
-    model.starts = float(ends)
-    model = ship(spark, model)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packs, shards = max(12, -(-size // PACK_BYTES)), max(12, -(-size // 4 * ORDER // AT_ONCE))
+    dealt = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)))
+    asked = dealt.groupBy("pack").applyInArrow(_ask(shards), "pack bigint, shard int, ord int, h binary, few binary, many binary")
+    told = scratch.save(asked.groupBy("shard").applyInArrow(_answer, "pack bigint, shard int, ord int, levels binary"))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, score double, base double, known bigint, rare array<bigint>, times array<int>"
     schema = schema.replace("bigint", rows.schema["doc_id"].dataType.simpleString(), 1)
-    scratch.free()
-    scored = scratch.save(rows.mapInArrow(_score(model, exact, total, distinct), schema).withColumn("row", F.monotonically_increasing_id()))
+    for _ in range(2):  # what the first call lets go of, the second finds unused
+        scratch.free()
+        time.sleep(1)
+    scored = dealt.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_score(shards, exact, float(ends), total, distinct), schema)
+    scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()))
     light = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     light = light.join(words.where(F.col("c") < F.lit(least)), F.col("token") == F.col("h"), "left")
     size = float(total + 0.5 * (distinct + 1))
