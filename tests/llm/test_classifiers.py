@@ -107,3 +107,15 @@ def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert X.score(d, none).agg(F.max("__tm_toxic")).first()[0] < 0.5
     assert X.civil(d, none).count() == len(EDGES) and X.civil(d.limit(0), none).count() == 0
+
+
+def test_only_copies_are_left_out():
+    """Texts that share frequent word pairs but are no copies all teach; copies teach once."""
+    rng = random.Random(5)
+    common = [f"of the w{i} and it" for i in range(12)]
+    texts = [" ".join(x for _ in range(12) for x in (rng.choice(common), f"u{rng.randrange(10**6)} v{rng.randrange(10**6)}")) for _ in range(300)]
+    again = texts[:20] + [t.upper() for t in texts[20:40]] + [t + " end" for t in texts[40:60]]
+    rows = [(i, t, 0) for i, t in enumerate(texts + again)] + [(1000, texts[0], 1), (1001, "", 0)]
+    batch = X.pa.RecordBatch.from_arrays([X.pa.array(c) for c in zip(*rows)], ["row", "text", "label"])
+    sketches = next(X._sketch([batch]))
+    assert X.firsts(zip(*(c.to_pylist() for c in sketches.columns))) == [*range(300), 1000]
