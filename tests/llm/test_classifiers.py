@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -119,3 +120,17 @@ def test_only_copies_are_left_out():
     batch = X.pa.RecordBatch.from_arrays([X.pa.array(c) for c in zip(*rows)], ["row", "text", "label"])
     sketches = next(X._sketch([batch]))
     assert X.firsts(zip(*(c.to_pylist() for c in sketches.columns))) == [*range(300), 1000]
+
+
+def test_few_toxic_labels(spark):
+    """From 3 toxic labels on the insult is found; where nothing tells them, scores are under 0.5."""
+    rng = random.Random(6)
+    text = lambda *more: " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(30)), *more])
+    for bad in (3, 5, 7, 10):
+        for more in ((), ("vermin",)):
+            given = [(i, text(*more) if i < bad else text(), int(i < bad)) for i in range(60)]
+            ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5][:60]  # all outside the held-out fold
+            docs = spark.createDataFrame([(ids[i], t) for i, t, _ in given] + [(20_000, text("vermin")), (20_001, text())], "doc_id bigint, text string")
+            labels = spark.createDataFrame([(ids[i], x) for i, _, x in given], "doc_id bigint, toxic int")
+            said = {r.doc_id: r["__tm_toxic"] >= 0.5 for r in X.score(docs, labels).collect()}
+            assert said == {**{ids[i]: bool(more) and i < bad for i in range(60)}, 20_000: bool(more), 20_001: False}, (bad, more)

@@ -1,6 +1,7 @@
 """Toxicity by a classifier whose score must not change when identity terms are swapped."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -24,10 +25,12 @@ IDENTITIES = (
     ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens"), ("noirs", "blancs"), ("immigrés", "citoyens"),
     ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen"), ("schwarze", "weiße"), ("ausländer", "bürger"),
 )
-#: Features that are kept at most, and toxic documents that must have a feature at least.
+#: Features that are kept at most, and toxic documents that must have a feature at least; a third
+#: of the toxic documents, but 3, where that is less.
 FEATURES, LEAST = 20_000, 8
 #: Least likelihood gain (twice the log) of a feature, far beyond what chance gives the best of a
-#: million, and least share of toxic documents among those that have it.
+#: million (half the most that any feature can have, where that is less), and least share of toxic
+#: documents among those that have it.
 GAIN, PURE = 30.0, 0.4
 #: Weights of the swap penalty and of the ridge.
 SWAP, RIDGE = 100.0, 1e-3
@@ -208,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     them, one. Its features are those that toxic documents have far more often than chance gives,
     FEATURES at most; only their counts and which documents have
     them come to the driver. With labels of one kind only every score is 0 or 1 accordingly, and
-    0 without labels."""
+    0 without labels or where no feature tells toxic documents."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     told = sample(docs, labels, target, scratch, rows=rows, doc_id=doc_id, text=text)
@@ -221,11 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     bad, n = told.agg(F.count(F.when(F.col("label") == 1, 1)), F.count("*")).first()
     if bad in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if bad else -40.0)
-    seen = told.mapInArrow(_present, "f bigint, bad bigint, good bigint").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST)
+    seen = told.mapInArrow(_present, "f bigint, bad bigint, good bigint").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= min(LEAST, max(3, -(-bad // 3))))
     both, rate = F.col("bad") + F.col("good"), bad / n
+    least = min(GAIN, bad * math.log(1 / rate))
     # how much likelier the labels of the texts with the feature are at their own rate of toxic ones
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (both * F.lit(rate))) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * F.lit(1 - rate)))).otherwise(0.0))
-    chosen = seen.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.col("bad") >= PURE * both)).orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").toArrow()
+    chosen = seen.withColumn("gain", gain).where((F.col("gain") >= least * (1 - 1e-9)) & (F.col("bad") >= PURE * both)).orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").toArrow()
+    if not len(chosen):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     names = np.sort(chosen["f"].to_numpy().view(np.uint64))
     shared = ship(spark, Model(names, np.zeros(len(names)), 0.0))
     rows_ = told.mapInArrow(_active(shared, identities), "label int, own array<bigint>, kind array<bigint>, swap array<bigint>").toArrow()
