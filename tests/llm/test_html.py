@@ -27,3 +27,8 @@ def test_query(spark, tmp_path):
     want = [w for _, w in CASES.values()] + ["", "q", "same", "same", "deep\n" + ("w " * 100_000).strip()]
     assert sorted((str(r.page_id), r.url or "", r.text, r.n_chars) for r in got) == sorted((str(r[0]), r[1] or "", w, len(w)) for r, w in zip(rows, want))
     assert QUERIES["op10_html_extract"](spark, str(tmp_path)).limit(0).count() == 0
+
+
+def test_short_parts_of_an_article_stay():
+    page = f"<body><nav>no</nav><article><h1>Title</h1><div class=lead><p>Short lead.</p></div><div class=body>{'<p>' + LONG * 4}{'<p>' + LONG * 5}</div><div class=end><p>Last, short part.</p></div></article></body>"
+    assert H.extract(page).split("\n") == ["Title", "Short lead.", (LONG * 4).strip(), (LONG * 5).strip(), "Last, short part."]

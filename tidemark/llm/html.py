@@ -139,8 +139,8 @@ def extract(page: str) -> str:
     Text length and punctuation are summed for each tag path from the root over all blocks that
     have it; a path's ratio is its text per block times its share of punctuation kinds per block.
     The ratios along the page are smoothed, fused with each block's own ratio, and thresholded by
-    their deviation. The content is all of the smallest element that holds nine tenths of the text
-    of what is left, short blocks such as headings included."""
+    their deviation. The content is all of the smallest element that holds everything that is
+    left, or of the article or main around it, short blocks such as headings included."""
     found = blocks(page)
     if not found:
         return ""
@@ -160,8 +160,8 @@ def extract(page: str) -> str:
         if c:
             for k in range(1, len(p) + 1):
                 held[p[k - 1]] = (k, held.get(p[k - 1], (k, 0.0))[1] + s)
-    roots = [x for x, (_, s) in held.items() if s >= 0.9 * whole]
-    inner = max(roots, key=lambda x: held[x][0], default=None)
+    roots = [x for x, (_, s) in held.items() if s >= whole]
+    inner = max((x for x in roots if x[0] in ("article", "main")), key=lambda x: held[x][0], default=None) or max(roots, key=lambda x: held[x][0], default=None)
     if inner is not None and inner[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):  # one block isn't an article: what holds it is
         inner = max((x for x in roots if x[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "td", "tr", "tbody", "table", "blockquote", "pre")), key=lambda x: held[x][0], default=inner)
     return "\n".join(t for p, t in found if inner is None or inner in p)
