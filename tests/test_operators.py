@@ -233,3 +233,12 @@ def test_models_find_planted_signals(spark):
     odd = df.withColumn("a", F.when(F.col("id") == 7, 50.0).otherwise(F.col("a")))
     top = N.isolation_forest(odd, ["a", "b"], trees=30).orderBy(F.desc("score")).limit(2).collect()
     assert {r.id for r in top} == {7}
+
+
+def test_decimated_tracks_keep_gap_starts_and_the_last_fix(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    minutes = [10 * i + (120 if i >= 22 else 0) for i in range(41)]
+    track = spark.createDataFrame([(1, t0 + dt.timedelta(minutes=x), i) for i, x in enumerate(minutes)], "mmsi int, observed_at timestamp_ntz, event_id int")
+    for most in (40, 7):
+        got = [r.event_id for r in E.thin(track, most=most).orderBy("event_id").collect()]
+        assert got == sorted({int(j * (41 / most)) for j in range(most)} | {22, 40})

@@ -43,9 +43,10 @@ def first_fixes(positions: DataFrame, minutes: int = 10) -> DataFrame:
     return g.agg(F.min_by(F.struct("observed_at", "lat", "lon", "event_id"), F.struct("observed_at", "event_id")).alias("p")).select("mmsi", "slot", "p.*")
 
 
-def thin(track: DataFrame, *, spacing_s: float = 600.0, most: int = 4000) -> DataFrame:
+def thin(track: DataFrame, *, spacing_s: float = 600.0, most: int = 4000, gap_s: float = 3600.0) -> DataFrame:
     """Greedy thinning of each mmsi's track: a fix is kept if it is `spacing_s` after the last one
-    kept, if a gap follows, or if it is the last; then every nth, to keep at most about `most`.
+    kept, if a gap follows, or if it is the last. Of more than `most`, `most` are kept at even
+    positions, and besides them the last and all that come over `gap_s` after the one before.
 
     The choice depends on the one before, so it is made row by row over Arrow batches of partitions
     sorted by transmitter: one fix and two numbers are held, whatever the length of a track."""
@@ -67,8 +68,14 @@ def thin(track: DataFrame, *, spacing_s: float = 600.0, most: int = 4000) -> Dat
     rows = rows.repartition("mmsi").sortWithinPartitions("mmsi", "observed_at", "event_id")
     kept = rows.mapInPandas(run, track.schema)
     n = F.count("*").over(Window.partitionBy("mmsi"))
-    kept = kept.withColumn("_n", F.row_number().over(w)).withColumn("_step", F.ceil(n / F.lit(most)))
-    return kept.where((F.col("_n") - 1) % F.col("_step") == 0).drop("_n", "_step")
+    kept = kept.withColumn("_n", F.row_number().over(w) - 1).withColumn("_all", n).withColumn("_since", micros("observed_at") - F.lag(micros("observed_at")).over(w))
+    step = F.col("_all") / F.lit(float(most))
+    near = F.ceil(F.col("_n") / step)
+    even = F.lit(False)
+    for j in (near - 1, near, near + 1):  # the j-th of the even positions is floor(j * step)
+        even = even | (j >= 0) & (j < most) & (F.floor(j * step) == F.col("_n"))
+    stays = (F.col("_all") <= most) | even | (F.col("_n") == F.col("_all") - 1) | F.coalesce(F.col("_since") > gap_s * 1e6, F.lit(False))
+    return kept.where(stays).drop("_n", "_all", "_since")
 
 
 def position_at(track: DataFrame, instants: DataFrame) -> DataFrame:

@@ -306,7 +306,7 @@ def track_bucket(spark, sf):
 @query()
 def track_thinned(spark, sf):
     """Greedy, so without SQL; tests hold it against a plain loop."""
-    return E.thin(positions(spark, sf).select("mmsi", "observed_at", "event_id", "lat", "lon"), spacing_s=6 * 3600.0, most=40)
+    return E.thin(positions(spark, sf).select("mmsi", "observed_at", "event_id", "lat", "lon"), spacing_s=6 * 3600.0)
 
 
 @query(f"""WITH {POS}, i AS (SELECT DISTINCT mmsi, TIMESTAMP '2024-01-12 12:00:00' AS t FROM pos),
