@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -47,9 +49,49 @@ def test_quality_by_held_out_labels(spark, tmp_path):
     kept = {r.doc_id: r.kept for r in rows if r.doc_id is not None and r.doc_id < 9000}
     wrong_good = [i for i, _ in docs if i % 7 and not kept[i]]
     wrong_bad = [i for i, _ in docs if not i % 7 and kept[i]]
-    assert len(rows) == len(docs) + len(EDGES) and not wrong_good and len(wrong_bad) <= 2
+    # k is a share of all documents, a little over that of the good ones: no good one is lost
+    told = [(i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    k = round(len(rows) * Q.good_share(sum(q for _, q in told), len(told)))
+    assert len(rows) == len(docs) + len(EDGES) and sum(r.kept for r in rows) == k and not wrong_good
+    assert len(wrong_bad) <= k - sum(i % 7 > 0 for i, _ in docs)
     again = {(r.doc_id, r.kept, r.log_ratio) for r in QUERIES["op4_quality"](spark, sf).collect()}
     assert again == {(r.doc_id, r.kept, r.log_ratio) for r in rows}
+    # with the share known, junk goes too
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    left = {r.doc_id for r in Q.good(d, lab, share=(600 + len(EDGES)) / len(rows)).collect()}
+    assert len([i for i, _ in docs if i % 7 and i not in left]) <= 2 and len([i for i, _ in docs if not i % 7 and i in left]) <= 2
+
+
+def test_quality_models_and_draw_are_brute_force(spark, tmp_path):
+    """Both models, weights and the kept set against plain Python; noise of scale 1 decides."""
+    docs, labels = corpus(300)
+    docs += [(5000 + i, f"be la {'mo ne ' * (i % 3)}") for i in range(60)]
+    sf = tables(spark, tmp_path, docs + EDGES, labels)
+    got = QUERIES["op4_quality"](spark, sf).collect()
+
+    def buckets(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return Q.grams(data, np.array([0, len(data)]))[0].tolist()
+
+    good = {i for i, q, _ in labels if q and zlib.crc32(str(i).encode()) % 5}
+    target, raw = Counter(), Counter()
+    for i, t in docs + EDGES:
+        raw.update(buckets(t))
+        if i in good:
+            target.update(buckets(t))
+    p = lambda c, b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * Q.BUCKETS))
+    value = {b: p(target, b) - p(raw, b) for b in raw}
+    want = sorted((str(i), round(sum(value[b] for b in buckets(t)), 6)) for i, t in docs + EDGES)
+    assert sorted((str(r.doc_id), round(r.log_ratio, 6)) for r in got) == want
+    order = sorted((r.score for r in got), reverse=True)
+    k = sum(r.kept for r in got)
+    assert all(r.kept == (r.score >= order[k - 1]) for r in got)
+    noise = np.array([r.score - r.log_ratio for r in got if r.doc_id is None or r.doc_id != 9003])
+    assert abs(noise.mean() - 0.5772) < 0.25 and abs(noise.std() - np.pi / np.sqrt(6)) < 0.3  # Gumbel of scale 1
+    # of many texts of one weight some are drawn and some aren't
+    d = spark.createDataFrame([(i, "be la") for i in range(400)], "doc_id bigint, text string")
+    drawn = Q.resample(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), share=0.5).where("__tm_kept").count()
+    assert drawn == 200
 
 
 def test_quality_ratio_is_brute_force():
@@ -134,3 +176,15 @@ def test_few_toxic_labels(spark):
             labels = spark.createDataFrame([(ids[i], x) for i, _, x in given], "doc_id bigint, toxic int")
             said = {r.doc_id: r["__tm_toxic"] >= 0.5 for r in X.score(docs, labels).collect()}
             assert said == {**{ids[i]: bool(more) and i < bad for i in range(60)}, 20_000: bool(more), 20_001: False}, (bad, more)
+
+
+def test_no_feature_and_repeated_ids(spark):
+    """A fit without any active feature, and one labelled id with many texts."""
+    w, b = X.fit(np.array([1, 0]), [[], []], [[], []], [[], []], 3)
+    assert w.shape == (3,) and np.isfinite(b)
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(500)] + [(2, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    from tidemark.llm.labelled import sample
+    from tidemark.llm.store import Scratch
+
+    assert sorted(r.label for r in sample(docs, labels, "toxic", Scratch(spark), held_out=-1).collect()) == [0, 0]

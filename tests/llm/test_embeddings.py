@@ -61,3 +61,55 @@ def test_empty(spark):
     assert E.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     out = E.near_duplicates(spark.createDataFrame([(1, None, 1)], schema)).collect()
     assert [tuple(r) for r in out] == [(1, 0, 1, True)]
+
+
+def pairs_at_the_threshold(n, d, seed, cosine=0.932):
+    rng = np.random.default_rng(seed)
+    a = E.unit(rng.standard_normal((n, d)))
+    noise = rng.standard_normal(a.shape)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    return a, cosine * a + np.sqrt(1 - cosine**2) * E.unit(noise)
+
+
+def test_recall_is_kept_with_wide_keys():
+    """Keys as wide as a thousand million rows ask for: tables are added, or keys made shorter."""
+    for d in (16, 32, 64):
+        x, _ = pairs_at_the_threshold(4000, d, 1)
+        t = E.Tables(x, 0.93, 18)
+        a, b = pairs_at_the_threshold(4000, d, 2)
+        met = (t.keys(a) == t.keys(b)).any(axis=1) & ((t.bits(a) != t.bits(b)).sum(axis=1) <= t.radius)
+        assert t.recall >= 0.99 and met.mean() >= 0.98, (d, t.width, len(t.turns), met.mean())
+        far = (t.bits(a) != t.bits(b[::-1])).sum(axis=1) <= t.radius
+        assert far.mean() < 0.2
+
+
+def test_recall_of_the_operator_with_wide_keys_and_other_lengths(spark):
+    """Rare lengths, shorter and longer than the commonest, lose no pair."""
+    rows = []
+    for d, n in ((32, 300), (16, 60), (256, 60), (5, 40)):
+        a, b = pairs_at_the_threshold(n, d, d)
+        if d == 256:  # all the likeness beyond the first components
+            a, b = a * (np.arange(d) >= 64), b * (np.arange(d) >= 64)
+        rows += [(len(rows) + i, x.tolist(), 1) for i, x in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    for few in (E.FEW, 50):  # without codes, and with codes of each length
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df, width=14, few=few).collect()}
+        want = {r[0]: r[1:] for r in brute(rows)}
+        same = {i: got[i][0] == want[i][0] for i in want}
+        assert np.mean(list(same.values())) >= 0.98
+        if few == E.FEW:
+            assert all(same[i] for i, x, _ in rows if len(x) != 32)
+
+
+def test_codes_that_tell_nothing_are_made_shorter():
+    """Rows so close together that centred codes hide pairs; rows all equal; rows of one component."""
+    rng = np.random.default_rng(4)
+    close = E.unit(np.ones(24) + 0.05 * rng.standard_normal((500, 24)))
+    for x in (close, np.repeat(E.unit(rng.standard_normal((1, 24))), 50, axis=0), np.array([[1.0], [-1.0], [1.0]])):
+        t = E.Tables(x, 0.93, 16)
+        assert t.recall >= 0.99 and t.keys(x).shape[0] == len(x)
+
+
+def test_integer_vectors(spark):
+    df = spark.createDataFrame([(1, [1, 2], 1), (2, [2, 4], 1), (3, [2, -4], 1)], "vec_id bigint, embedding array<int>, label int")
+    assert sorted(map(tuple, E.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

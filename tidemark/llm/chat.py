@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard import small
@@ -17,7 +17,7 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 #: Costs of joining a turn to the one before it, of another role, of a role where none is known,
 #: and of an empty turn.
 COSTS = {"merge": 2, "relabel": 3, "unknown": 1, "insert": 4}
-#: Turns that are repaired in one piece; longer conversations are cut and joined by cost matrices.
+#: Turns of a row; longer conversations are cut after as many, and joined by cost matrices.
 PIECE = 2048
 _BIG = 1 << 40
 
@@ -140,8 +140,9 @@ def render(auto: Automaton, turns, entry: int, leave: int | None, last: bool):
 _TURNS = "array<struct<role:string,text:string>>"
 
 
-def _pieces(limit: int):
-    """Rows of a sorted partition as pieces (conversation, partition, number, turns)."""
+def _fragments(limit: int):
+    """Rows of a sorted partition as fragments (conversation, partition, number, turns): what the
+    partition has of a conversation, `limit` turns at a time."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -190,7 +191,7 @@ def _matrices(auto: Automaton):
     def run(batches):
         for batch in batches:
             m = [auto.matrix([auto.role(t["role"]) for t in turns]).reshape(-1) for turns in batch.column("turns").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "part", "number")), pa.array(m, pa.list_(pa.int64()))], ["conv_id", "part", "number", "matrix"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("piece"), pa.array(m, pa.list_(pa.int64()))], ["conv_id", "piece", "matrix"])
 
     return run
 
@@ -199,7 +200,7 @@ def _chain(auto: Automaton):
     """States between the pieces of one conversation, from their cost matrices alone."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("number", "ascending")])
+        table = table.sort_by([("piece", "ascending")])
         n = len(STATES)
         best, back = np.array([0] + [_BIG] * (n - 1)), []
         for m in table.column("matrix").to_pylist():
@@ -213,7 +214,7 @@ def _chain(auto: Automaton):
             s = int(b[s])
             entry.append(s)
         k = len(back)
-        return pa.table({"c": table.column("conv_id"), "p": table.column("part"), "q": table.column("number"), "entry": pa.array(entry[::-1], pa.int32()), "leave": pa.array(leave[::-1], pa.int32()), "last": [i == k - 1 for i in range(k)], "piece": pa.array(range(k), pa.int64())})
+        return pa.table({"c": table.column("conv_id"), "p": table.column("piece"), "entry": pa.array(entry[::-1], pa.int32()), "leave": pa.array(leave[::-1], pa.int32()), "last": [i == k - 1 for i in range(k)]})
 
     return run
 
@@ -222,31 +223,43 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     """conv_id, piece, n_source, rendered, cost, n_turns, n_merged, n_relabelled and n_inserted.
 
     For each conversation the repair of least cost makes its turns legal: turns are merged with
-    the one before, given another role, or preceded by empty turns. One row has a conversation of
-    up to `piece` turns; the text of a longer one is that of its pieces, joined in order. Turns are
-    sorted by ranges over all conversations, so a conversation of any size is spread over tasks;
-    the pieces of one that is cut are joined by their cost matrices (one number for each two
-    states), which give each piece the states that it begins and ends in. Costs are least in any
-    case; among repairs of equal cost, where a conversation is cut may decide.
+    the one before, given another role, or preceded by empty turns. A conversation of up to `piece`
+    turns is one row; a longer one, which no single task may have to hold, has a row for every
+    `piece` turns, and its text is theirs joined in order. Which turns a row has depends on the
+    turns' order alone, so reruns and other partitionings agree.
+
+    Turns are sorted by ranges over all conversations, so a conversation of any size is spread over
+    tasks. Of those that more than one task has, or that are long, turns are numbered by counts per
+    fragment and dealt to their pieces; the pieces of one conversation are joined by their cost
+    matrices (one number for each two states), which give each piece the states that it begins and
+    ends in. Costs are least in any case.
 
     Order: turn, null last, then role and text by hash. Null texts are empty; null and unknown
     roles take any role at a cost of their own. Rows without a conversation are one conversation.
-    Markers inside texts are broken up. Repeated rows are turns of their own. Empty: no rows.
+    Conversations are numbers (cast to bigint). Markers inside texts are broken up. Repeated rows
+    are turns of their own. Empty: no rows.
     """
     spark = turns.sparkSession
     scratch, auto = Scratch(spark), auto or Automaton()
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    # rows that agree in all but `tie` are equal, so it only spreads them over ranges
     keys = [F.col("conv_id"), F.col("turn").isNull(), F.col("turn"), F.xxhash64("role", "text"), F.col("tie")]
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     cut = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "role", "text")
-    cut = scratch.save(cut.mapInArrow(_pieces(piece), f"conv_id bigint, part int, number bigint, turns {_TURNS}"))
-    many = scratch.save(cut.groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("k")))
-    few = small(many)
+    cut = scratch.save(cut.mapInArrow(_fragments(piece), f"conv_id bigint, part int, number bigint, turns {_TURNS}"))
+    many = small(scratch.save(cut.groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("k"))))
     same = F.col("conv_id").eqNullSafe(F.col("k"))
-    whole = cut.join(few, same, "left_anti").select("conv_id", "turns", F.lit(0).alias("entry"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("last"), F.lit(0).cast("long").alias("piece"))
-    parts = cut.join(few, same, "left_semi")
-    states = parts.mapInArrow(_matrices(auto), "conv_id bigint, part int, number bigint, matrix array<bigint>").groupBy("conv_id").applyInArrow(_chain(auto), "c bigint, p int, q bigint, entry int, leave int, last boolean, piece bigint")
-    parts = parts.join(states, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("number") == F.col("q")))
+    whole = cut.join(many, same, "left_anti").select("conv_id", F.lit(0).cast("long").alias("piece"), "turns", F.lit(0).alias("entry"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("last"))
+    earlier = Window.partitionBy("conv_id").orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    place = cut.join(many, same, "left_semi")
+    offset = place.select("conv_id", "part", "number", F.size("turns").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    offset = offset.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("number").alias("q"), "offset")
+    place = place.join(offset, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("number") == F.col("q")))
+    each = place.select("conv_id", "offset", F.posexplode("turns").alias("pos", "turn")).select("conv_id", (F.col("offset") + F.col("pos")).alias("at"), "turn")
+    each = each.groupBy("conv_id", F.floor(F.col("at") / F.lit(piece)).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("at", "turn"))).alias("turns"))
+    parts = scratch.save(each.select("conv_id", "piece", F.transform("turns", lambda t: t["turn"]).alias("turns")))
+    states = parts.mapInArrow(_matrices(auto), "conv_id bigint, piece bigint, matrix array<bigint>").groupBy("conv_id").applyInArrow(_chain(auto), "c bigint, p bigint, entry int, leave int, last boolean")
+    parts = parts.join(states, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")))
     every = whole.unionByName(parts.select(*whole.columns))
     return every.mapInArrow(_rendered(auto), "conv_id bigint, piece bigint, n_source bigint, rendered string, cost bigint, n_turns bigint, n_merged bigint, n_relabelled bigint, n_inserted bigint")
 

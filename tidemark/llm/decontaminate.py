@@ -1,5 +1,7 @@
 """Benchmark decontamination by a generalised suffix automaton of the benchmark's items."""
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -187,7 +189,7 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     judged one by one. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).distinct()
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size // (6 * block_words)))
     names, scratch, out, last = docs.columns, Scratch(spark), docs, None
@@ -216,9 +218,9 @@ def hits() -> F.Column:
 
 
 def contaminated(max_share: float = 0.05) -> F.Column:
-    """Whether hit words make up at least `max_share` of the words."""
-    n = hits()
-    return (n > 0) & (n * F.lit(round(1 / max_share)) >= F.col("__tm_words"))
+    """Whether hit words make up at least `max_share` of the words, in whole numbers."""
+    n, share = hits(), Fraction(str(max_share))
+    return (n > 0) & (n * F.lit(share.denominator) >= F.col("__tm_words") * F.lit(share.numerator))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, max_share: float = 0.05, max_span: int | None = None, text: str = "text", **more) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Language-model scores from quantised n-gram counts that stay in shards."""
+"""Language-model scores from a log-frequency Bloom filter of n-gram counts, held in shards."""
 
 import time
 
@@ -14,6 +14,8 @@ from .text import SPACED, Words, mix, slices, sums
 ORDER = 3
 #: Levels of a count per doubling, by order: a token's own count is wanted finer.
 STEPS = {1: 4, 2: 2, 3: 2}
+#: n-grams that are asked of one shard, about, at most.
+PROBED = 2_000_000
 #: Bits of the filter for each member. A lookup probes four bits in each of two words.
 BITS_EACH = 14
 #: n-grams that one task adds up at a time, on either side of the shuffle.
@@ -70,10 +72,10 @@ def level(count: np.ndarray, order: int) -> np.ndarray:
 
 
 def bounds(level: np.ndarray, order: int):
-    """Least whole count of each level and the (geometric) middle; 0 for level 0."""
+    """Least and most whole counts of each level; 0 for level 0."""
     low = np.ceil(2.0 ** ((level - 1) / STEPS[order]) - 1e-6)
     high = np.maximum(low, np.ceil(2.0 ** (level / STEPS[order]) - 1e-6) - 1)
-    return np.where(level > 0, low, 0.0), np.where(level > 0, np.sqrt(low * high), 0.0)
+    return np.where(level > 0, low, 0.0), np.where(level > 0, high, 0.0)
 
 
 def _pack(h: np.ndarray, n: np.ndarray, shards: int, order: int):
@@ -102,32 +104,6 @@ def _unpack(hashes: bytes, few: bytes, many: bytes):
 _PACKED = pa.schema([("shard", pa.int32()), ("ord", pa.int32()), ("h", pa.binary()), ("few", pa.binary()), ("many", pa.binary())])
 
 
-def _count(shards: int):
-    """n-gram counts of the training texts that a task reads, by shard."""
-
-    def run(batches):
-        held, size = {n: [] for n in range(1, ORDER + 1)}, 0
-
-        def flush():
-            rows = [r for n, parts in held.items() if parts for r in _pack(*_counted(np.concatenate(parts)), shards, n)]
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[at : at + 256]), _PACKED)], schema=_PACKED)
-
-        for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
-                grams, _ = ngrams(*tokens(Words(data, offsets, SPACED)))
-                for n, h in grams.items():
-                    held[n].append(h)
-                    size += len(h)
-                if size >= AT_ONCE:
-                    yield from flush()
-                    held, size = {n: [] for n in held}, 0
-        if size:
-            yield from flush()
-
-    return run
-
-
 def _probe(h: np.ndarray, lv: int, words: np.ndarray):
     """The two words of a filter of `words` words that hold member (h, lv), and its bits in each."""
     x = mix(h + _U(lv * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -140,96 +116,60 @@ def _probe(h: np.ndarray, lv: int, words: np.ndarray):
         yield ((half * words) >> _U(32)).astype(np.int64), bits
 
 
-def _shard(most_bits: int | None):
-    """One shard's filter from all its counts. Where `most_bits` is given and all levels would
-    need more, counts below the least cutoff that fits are left to the shorter context, by order from the
-    longest."""
-
-    def run(table: pa.Table) -> pa.Table:
-        held = {}
-        for n in range(1, ORDER + 1):
-            parts = [_unpack(h, f, m) for o, h, f, m in zip(*(table.column(c).to_pylist() for c in ("ord", "h", "few", "many"))) if o == n]
-            if parts:
-                held[n] = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        cut = dict.fromkeys(held, 1)
-        need = lambda n: int(level(held[n][1][held[n][1] >= cut[n]], n).sum()) * BITS_EACH
-        total = {n: need(n) for n in held}
-        while most_bits and sum(total.values()) > most_bits:
-            n = max((n for n in held if total[n]), key=lambda n: (total[n] * (n > 1), n))
-            cut[n] *= 2
-            total[n] = need(n)
-        words = max(1, -(-sum(total.values()) // 64))
-        on = np.zeros(words, np.uint64)
-        for n, (h, c) in held.items():
-            h, lv = h[c >= cut[n]], level(c[c >= cut[n]], n)
-            for j in range(1, int(lv.max(initial=0)) + 1):
-                for at, bits in _probe(h[lv >= j], j, _U(words)):
-                    np.bitwise_or.at(on, at, bits)
-        return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "filter": pa.array([on.tobytes()], pa.binary()), "cut": pa.array([[cut.get(n, 1) for n in range(1, ORDER + 1)]], pa.list_(pa.int64()))})
-
-    return run
-
-
 class Filter:
-    """All shards' filters, and lookups of levels by repeated membership probes."""
-
-    def __init__(self, shards: int, rows):
-        self.shards = shards
-        self.words = np.ones(shards, np.uint64)
-        self.at = np.zeros(shards, np.int64)
-        self.cut = {r["shard"]: r["cut"] for r in rows}
-        parts, at = [np.zeros(1, np.uint64)], 1
-        for r in rows:
-            parts.append(np.frombuffer(r["filter"], np.uint64))
-            self.words[r["shard"]], self.at[r["shard"]] = len(parts[-1]), at
-            at += len(parts[-1])
-        self.on = np.concatenate(parts)
-
-    def levels(self, h: np.ndarray, among: np.ndarray | None = None, most: int = 200) -> np.ndarray:
-        """Level of each n-gram, 0 if it isn't a member; only `among` are looked up."""
-        out = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h)) if among is None else np.flatnonzero(among)
-        low = h[alive]
-        shard = ((low >> _U(40)) % _U(self.shards)).astype(np.int64)
-        words, base = self.words[shard], self.at[shard]
-        low &= _U((1 << 40) - 1)
-        for j in range(1, most):
-            if not len(alive):
-                break
+    """A log-frequency Bloom filter: an n-gram of level j is a member as (n-gram, 1), ... (n-gram,
+    j), so that its quantised count comes from repeated membership probes. Its size follows from
+    its members."""
+
+    def __init__(self, h: np.ndarray, levels: np.ndarray):
+        h, levels = h[levels > 0], levels[levels > 0]
+        self.words = _U(max(1, -(-int(levels.sum()) * BITS_EACH // 64)))
+        self.on = np.zeros(int(self.words), np.uint64)
+        for j in range(1, int(levels.max(initial=0)) + 1):
+            for at, bits in _probe(h[levels >= j], j, self.words):
+                np.bitwise_or.at(self.on, at, bits)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, 0 if it isn't a member. A false member is at 1 in about 800, and
+        one level more than is true at as few."""
+        out, alive, j = np.zeros(len(h), np.int64), np.arange(len(h)), 0
+        while len(alive):
+            j += 1
             hit = np.ones(len(alive), bool)
-            for at, bits in _probe(low, j, words):
-                hit &= self.on[at + base] & bits == bits
-            alive, low, words, base = alive[hit], low[hit], words[hit], base[hit]
+            for at, bits in _probe(h[alive], j, self.words):
+                hit &= self.on[at] & bits == bits
+            alive = alive[hit]
             out[alive] = j
         return out
 
 
-def log10(levels, starts: float, t: np.ndarray, first: np.ndarray, total: int, distinct: int, exact):
-    """log10 probability of each token after the two before it: a token's share of all tokens,
-    as in the base score; then, at each longer context that was seen, the n-gram's least count
-    and the shorter context's probability times BACKOFF, over the context's count, in the
-    middle of its level, and BACKOFF. So probabilities add up to 1 or less as far as levels are
-    exact. `levels` has the level of every n-gram by order, 0 for one that training texts don't
-    have. Counts in `exact` (hashes, counts) go before levels. Also which tokens those are, and
-    their base score."""
-    at = np.minimum(np.searchsorted(exact[0], t), len(exact[0]) - 1)
-    hit = exact[0][at] == t
-    low, mid = (np.where(hit, exact[1][at], x) for x in bounds(levels[1], 1))
-    p = (mid + 0.5) / (total + 0.5 * (distinct + 1))
-    base = np.where(hit, np.log10(p), 0.0)
-    context = np.empty_like(mid)
-    context[1:] = mid[:-1]
+def log10(levels, starts: float, first: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 probability of each token after the two before it: a token's share of all tokens, as
+    in the base score; then, at each longer context that was seen, the n-gram's count and the
+    shorter context's probability times BACKOFF, over the context's count and BACKOFF. `levels` has
+    the level of every n-gram by order. An n-gram counts the least of its level, a context the most
+    of its own, so that the probabilities of all tokens after a context add up to 1 at most."""
+    low, high = bounds(levels[1], 1)
+    p = (low + 0.5) / (total + 0.5 * (distinct + 1))
+    context = np.empty_like(high)
+    context[1:] = high[:-1]
     context[first[:-1]] = starts
-    low2, mid2 = bounds(np.where((low > 0) & (context > 0), levels[2], 0), 2)
-    seen = low2 > 0
-    low2 = np.minimum(low2, np.maximum(low, 1))
+    low2, high2 = bounds(np.where((low > 0) & (context > 0), levels[2], 0), 2)
+    low2 = np.minimum(low2, low)
     p = np.where(context > 0, (low2 + BACKOFF[2] * p) / (np.maximum(context, low2) + BACKOFF[2]), p)
-    context = np.zeros_like(mid)
-    context[1:] = mid2[:-1]
+    context = np.zeros_like(high)
+    context[1:] = high2[:-1]
     context[first[:-1]] = 0
-    low3 = np.minimum(bounds(np.where(seen & (context > 0), levels[3], 0), 3)[0], np.maximum(low2, 1))
+    low3 = np.minimum(bounds(np.where((low2 > 0) & (context > 0), levels[3], 0), 3)[0], low2)
     p = np.where(context > 0, (low3 + BACKOFF[3] * p) / (np.maximum(context, low3) + BACKOFF[3]), p)
-    return np.log10(p), base, hit
+    return np.log10(p)
+
+
+def exact_base(exact, t: np.ndarray, total: int, distinct: int):
+    """Base score of the tokens whose counts are in `exact` (hashes, counts), 0 for others; and which those are."""
+    at = np.minimum(np.searchsorted(exact[0], t), len(exact[0]) - 1)
+    hit = exact[0][at] == t
+    return np.where(hit, np.log10((exact[1][at] + 0.5) / (total + 0.5 * (distinct + 1))), 0.0), hit
 
 
 def _vocabulary(batches):
@@ -276,8 +216,8 @@ def _ask(shards: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For one shard, with all counts of its n-grams: the level of each n-gram of each request, in
-    the order of the request."""
+    """For one shard, with all counts of its n-grams: their log-frequency Bloom filter, and from it,
+    by probes, the level of each n-gram of each request, in the order of the request."""
     order, levels = np.array(table.column("ord").to_pylist()), [b""] * table.num_rows
     for n in np.unique(order).tolist():
         rows = np.flatnonzero(order == n).tolist()
@@ -285,7 +225,7 @@ def _answer(table: pa.Table) -> pa.Table:
         h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         count = np.zeros(len(h), np.int64)
         np.add.at(count, where, np.concatenate([p[1] for p in parts]))
-        all_ = np.where(count > 0, level(count, n), 0).astype(np.uint8)[where]
+        all_ = Filter(h, np.where(count > 0, level(count, n), 0)).levels(h).astype(np.uint8)[where]
         ends = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
         for i, a, b in zip(rows, ends, ends[1:]):
             levels[i] = all_[a:b].tobytes()
@@ -316,7 +256,8 @@ def _score(shards: int, shared, starts: float, total: int, distinct: int):
         out = {k: [] for k in ("tokens", "score", "base", "known", "rare", "times")}
         done = 0
         for t, first in pieces:
-            p, base, hit = log10({n: x[done : done + len(t)] for n, x in levels.items()}, starts, t, first, total, distinct, exact)
+            p = log10({n: x[done : done + len(t)] for n, x in levels.items()}, starts, first, total, distinct)
+            base, hit = exact_base(exact, t, total, distinct)
             done += len(t)
             out["tokens"].append(np.diff(first))
             out["score"].append(sums(p, first))
@@ -335,26 +276,17 @@ def _score(shards: int, shared, starts: float, total: int, distinct: int):
     return run
 
 
-def build(texts: DataFrame, total: int, max_bits: int | None = None) -> Filter:
-    """The filter of all n-grams of `texts` (one column). Tasks add up what they read and send it
-    in shards by hash, as many as `total`, the number of tokens, asks for to hold a shard in
-    memory; each shard becomes its part of the filter where it is, and only filters come to the
-    driver. They grow with the texts unless `max_bits` bounds them; score() doesn't use them."""
-    shards = max(8, -(-total * ORDER // (AT_ONCE // 2)))
-    packed = texts.mapInArrow(_count(shards), "shard int, ord int, h binary, few binary, many binary")
-    parts = packed.groupBy("shard").applyInArrow(_shard(max_bits and max_bits // shards), "shard int, filter binary, cut array<bigint>")
-    return Filter(shards, parts.collect())
-
-
 def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document,
     by a model of the documents for which `train` holds.
 
     Texts are lower-cased (A-Z) and split into words [^\\x20\\x09-\\x0D]+, then one end. All
-    n-grams up to ORDER of all training texts are counted, by hashes; the model is the level of
-    each, the logarithm of its count. None is left out and none comes to the driver: texts are dealt
-    to packs, each pack sends its distinct n-grams once to the shards that count them, and gets
-    their levels back, a byte each.
+    n-grams up to ORDER of all training texts are counted, by hashes; the model is a log-frequency
+    Bloom filter of the logarithms of their counts, and the score comes from probes of it alone. It
+    grows with the texts, so it isn't broadcast whole but held in shards, as many as hold about
+    PROBED n-grams each; none is left out and none comes to the driver: texts are dealt to packs,
+    each pack sends its distinct n-grams once to the shards that have their filters, and gets the
+    levels that probes find back, a byte each.
     The base score needs exact counts: those of frequent tokens are broadcast, at most 1 / HEAVY
     of them; the others meet their documents in a join, once for each document and token.
 
@@ -373,7 +305,7 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     hashes, counts = heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy().astype(np.float64)
     exact = ship(spark, (hashes, counts) if total else (np.zeros(1, np.uint64), np.zeros(1)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs, shards = max(12, -(-size // PACK_BYTES)), max(12, -(-size // 4 * ORDER // AT_ONCE))
+    packs, shards = max(12, -(-size // PACK_BYTES)), max(12, -(-size // 4 * ORDER // PROBED))
     dealt = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)))
     asked = dealt.groupBy("pack").applyInArrow(_ask(shards), "pack bigint, shard int, ord int, h binary, few binary, many binary")
     told = scratch.save(asked.groupBy("shard").applyInArrow(_answer, "pack bigint, shard int, ord int, levels binary"))
@@ -384,6 +316,7 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
         time.sleep(1)
     scored = dealt.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_score(shards, exact, float(ends), total, distinct), schema)
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()))
+    scratch.keep(scored, words)
     light = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     light = light.join(words.where(F.col("c") < F.lit(least)), F.col("token") == F.col("h"), "left")
     size = float(total + 0.5 * (distinct + 1))

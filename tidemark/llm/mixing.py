@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the hash-random keys of one source are cut into; each is sorted by one task.
+#: Rows of a range of one source's hash-random keys, about, at most; ranges are cut and sorted alone.
+RANGE_ROWS = 50_000
+#: Ranges of a source at least.
 RANGES = 1024
 
 
@@ -35,13 +37,14 @@ def targets(sizes: DataFrame, *, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
     return w.select("source", "source_size", F.least("most", F.coalesce(F.col("x") * F.col("w"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), cap: int = 3, seed: str = "mix", ranges: int = RANGES, keep=()) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), cap: int = 3, seed: str = "mix", ranges: int | None = None, keep=()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs (whole copies) and
     taken (words that the mix takes: `epochs` copies and the first words of one more).
 
     Each document has a key, a digest of seed, id and text, so documents of a source are in a random
     order that reruns repeat. Keys are even, so their leading bits cut each source, a hot one too,
-    into `ranges` even ranges: words are summed per range before anything is shuffled wide, prefix
+    into `ranges` even ranges, by default as many as hold about RANGE_ROWS rows each even if all
+    rows are of one source: words are summed per range before anything is shuffled wide, prefix
     sums over ranges give each range its offset, and each range is sorted by a task of its own. The
     budget, the whole part of the target, is cut inside the document that it falls in.
 
@@ -50,6 +53,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     `keep` names further columns to return. An empty table gives no rows.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    if ranges is None:
+        ranges = max(RANGES, min(1 << 28, docs.count() // RANGE_ROWS))
     bits = max(1, (ranges - 1).bit_length())
     rows = docs.select(
         *[F.col(f"`{c}`").alias(f"__tm_k{i}") for i, c in enumerate(keep)],

@@ -1,5 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,26 +14,20 @@ from .text import mix, powers, slices, sums, uniform
 
 #: Buckets that n-grams are hashed into.
 BUCKETS = 1 << 16
-#: Of the log ratio per n-gram; small against what tells junk from prose.
-TEMPERATURE = 0.01
-#: Weight of an n-gram without evidence, so that a few n-grams alone decide little.
-PRIOR = 8.0
-#: How much worse it is to lose a good document than to keep a bad one.
-CARE = 20.0
+#: Standard errors that the share of good documents among the labels is taken higher by.
+ERRORS = 2.0
 
 _U = np.uint64
 _KIND = np.ones(256, np.uint8)  # 0: white space, 1: letters, digits and non-ASCII, 2: other ASCII
 _KIND[list(range(0x80))] = 2
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
-_REPEAT = mix(np.array([0xA4093822], np.uint64))[0]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray):
     """Buckets of the uni- and bigrams of each row and where rows begin among them.
 
-    Tokens are runs of letters and digits and runs of punctuation. A bigram of a token and itself
-    is one n-gram whatever the token: the model learns how often words are repeated at once."""
+    Tokens are runs of letters and digits and runs of punctuation."""
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
@@ -48,7 +44,6 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     value = np.where(kind != 0, data.astype(np.uint64) + _U(1), _U(0)) * up[: len(data)]
     one = mix(np.add.reduceat(value, starts) * down[starts])
     two = mix(one[:-1] * _U(0x9E3779B97F4A7C15) + one[1:])
-    two[one[1:] == one[:-1]] = _REPEAT
     out = np.full(2 * len(one), -1, np.int64)
     out[0::2] = (one >> _U(48)).astype(np.int64) % BUCKETS
     out[3::2] = (two >> _U(48)).astype(np.int64) % BUCKETS
@@ -89,16 +84,11 @@ def weigh(values: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     return sums(values[at], first), np.diff(first)
 
 
-def threshold(score: np.ndarray, good: np.ndarray) -> float:
-    """Cut of least cost between good and bad labelled scores, in the middle of the widest gap."""
-    if not good.any() or good.all():
-        return -np.inf
-    order = np.argsort(score)
-    score, good = score[order], good[order]
-    cost = np.concatenate(([0], np.cumsum(good))) * CARE + np.concatenate(([0], np.cumsum(~good[::-1])))[::-1]
-    edge = np.concatenate(([score[0] - 1], score, [score[-1] + 1]))
-    gap = np.where(cost == cost.min(), np.diff(edge), -1)
-    return float(edge[:-1][gap.argmax()] + gap.max() / 2)
+def good_share(good: int, told: int, errors: float = ERRORS) -> float:
+    """Share of good documents among the labelled, higher by some standard errors, so that chance
+    in the labels doesn't reject good documents; 1 without labels."""
+    p = good / told if told else 1.0
+    return min(1.0, p + errors * math.sqrt(p * (1 - p) / max(told, 1)))
 
 
 def _keys(values, kept: list, text_at: int, id_at: int):
@@ -109,17 +99,16 @@ def _keys(values, kept: list, text_at: int, id_at: int):
             for i, data, offsets in slices(batch.column(text_at)):
                 ratio[i : i + len(offsets) - 1], size[i : i + len(offsets) - 1] = weigh(table, data, offsets)
             noise = -np.log(-np.log(uniform(batch.column(id_at).to_numpy().view(np.uint64))))
-            score = ratio / (size + PRIOR)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(ratio), pa.array(size), pa.array(score), pa.array(score / TEMPERATURE + noise)], [*(batch.schema.names[i] for i in kept), "__tm_ratio", "__tm_grams", "__tm_score", "__tm_key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(ratio), pa.array(size), pa.array(ratio + noise)], [*(batch.schema.names[i] for i in kept), "__tm_ratio", "__tm_grams", "__tm_key"])
 
     return run
 
 
 def _weighed(docs: DataFrame, values, doc_id: str, text: str, keep: list) -> DataFrame:
-    """`keep` columns of docs with log ratio, n-grams, ratio per n-gram and perturbed key."""
+    """`keep` columns of docs with log ratio, n-grams and perturbed key."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__tm_text"), F.xxhash64(F.lit("gumbel"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("__tm_hash"))
     n = len(keep)
-    added = [T.StructField("__tm_ratio", T.DoubleType()), T.StructField("__tm_grams", T.LongType()), T.StructField("__tm_score", T.DoubleType()), T.StructField("__tm_key", T.DoubleType())]
+    added = [T.StructField("__tm_ratio", T.DoubleType()), T.StructField("__tm_grams", T.LongType()), T.StructField("__tm_key", T.DoubleType())]
     return rows.mapInArrow(_keys(values, list(range(n)), n, n + 1), T.StructType([*rows.schema.fields[:n], *added]))
 
 
@@ -144,33 +133,30 @@ def nth_largest(keys: DataFrame, column: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", target: str = "quality", rows: int = ROWS, share: float | None = None, keep=None) -> DataFrame:
-    """`docs` (or their columns `keep`) with __tm_ratio, __tm_grams, __tm_score, __tm_key and
-    __tm_kept.
+    """`docs` (or their columns `keep`) with __tm_ratio, __tm_grams, __tm_key and __tm_kept.
 
     The target model is of the documents labelled 1, from a sample of at most `rows` labels; the
     raw model is of all documents. Both count hashed uni- and bigrams; __tm_ratio, the log ratio of
-    a whole text's probabilities, is its log importance weight. Documents are drawn without
-    replacement by Gumbel top-k on the weight per n-gram over TEMPERATURE: k is `share` of the
-    documents, or else as many as have a weight beyond the cut that separates the labels best. The
-    k-th key is found by distributed counting, and only that number is needed to decide: a
-    document is kept if its key reaches it. The noise is a hash of id and text, so reruns agree
-    and rows that repeat both are kept or rejected together; nothing is shuffled but counts.
+    a whole text's probabilities, is its log importance weight, and __tm_key that weight with
+    Gumbel noise of scale 1. The documents with the k largest keys are a sample without replacement
+    by importance: k is `share` of the documents, or else the share of good ones among the labels,
+    by ERRORS standard errors higher. The k-th key is found by distributed counting, and only that
+    number is needed to decide: a document is kept if its key reaches it. The noise is a hash of id
+    and text, so reruns agree and rows that repeat both are kept or rejected together; nothing is
+    shuffled but counts and labelled texts.
 
     Null and empty texts have no n-grams and weight 0, as has every text where no label is 1; with
-    labels of one kind only, all are kept. An empty table gives no rows.
+    no labels, or good ones only, all are kept. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     learned = sample(docs, labels, target, scratch, rows=rows, doc_id=doc_id, text=text)
-    table = ratios(counts(learned.where("label = 1").select("text")), counts(docs.select(F.col(f"`{text}`").alias("text"))))
-    values = ship(spark, table)
-    told = _weighed(learned, values, "label", "text", ["label"]).select("label", "__tm_score").toArrow()
-    cut = threshold(told["__tm_score"].to_numpy(), told["label"].to_numpy() == 1)
-    keep = list(docs.columns if keep is None else keep)
-    scored = _weighed(docs, values, doc_id, text, keep)
-    keys = scratch.save(scored.select("__tm_score", "__tm_key"))
-    n, good = keys.agg(F.count("*"), F.count(F.when(F.col("__tm_score") >= cut, 1))).first()
-    last = nth_largest(keys, "__tm_key", good if share is None else round(share * n))
+    told, good = learned.agg(F.count("*"), F.count(F.when(F.col("label") == 1, 1))).first()
+    share = good_share(good, told) if share is None else share
+    values = ship(docs.sparkSession, ratios(counts(learned.where("label = 1").select("text")), counts(docs.select(F.col(f"`{text}`").alias("text")))))
+    scored = _weighed(docs, values, doc_id, text, list(docs.columns if keep is None else keep))
+    keys = scratch.save(scored.select("__tm_key"))
+    last = nth_largest(keys, "__tm_key", round(share * keys.count()))
+    scratch.keep()
     return scored.withColumn("__tm_kept", F.col("__tm_key") >= F.lit(last))
 
 
@@ -184,5 +170,5 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
     out = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return out.select(
         "doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("__tm_grams").alias("n_grams"),
-        F.col("__tm_ratio").alias("log_ratio"), F.col("__tm_score").alias("score"), F.col("__tm_kept").alias("kept"),
+        F.col("__tm_ratio").alias("log_ratio"), F.col("__tm_key").alias("score"), F.col("__tm_kept").alias("kept"),
     )

@@ -13,11 +13,14 @@ _OWN: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own on a single
+    machine (tests), and an error on a cluster."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     if "dir" not in _OWN:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         _OWN["dir"] = tempfile.mkdtemp(prefix="tidemark-")
     return f"file://{_OWN['dir']}"
 
@@ -36,7 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.tables = 0, []
         _OWN.setdefault("bases", []).append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -45,6 +48,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -53,8 +57,15 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
             path.getFileSystem(conf).delete(path, True)
+        gone = {t._tidemark_path for t in tables}
+        self.tables = [t for t in self.tables if t._tidemark_path not in gone]
         self.free()
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Frees all tables but those that a result reads."""
+        kept = {t._tidemark_path for t in tables}
+        self.drop(*(t for t in self.tables if t._tidemark_path not in kept))
+
     def free(self) -> None:
         """Lets Spark remove the shuffle files of finished steps, which it does for those that
         neither Python nor the JVM refers to any more."""

@@ -10,7 +10,16 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
-_POWERS = {}
+
+
+class _Cache(dict):
+    """What a process has worked out. It travels empty with the functions that use it."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def _table(delimiters) -> np.ndarray:

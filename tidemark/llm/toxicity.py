@@ -198,9 +198,8 @@ def fit(label: np.ndarray, own: list, kind: list, swap: list, n: int, steps: int
         w = wb[:-1]
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], minlength=len(y)) + wb[-1], -40, 40)))
         g = weight * (p - y)
-        change = np.bincount(a[0], w[a[1]], minlength=len(own)) - np.bincount(b[0], w[b[1]], minlength=len(own))
-        change *= 2 * SWAP / max(1, len(own))
-        grad = np.append(np.bincount(c, g[r], minlength=n) + RIDGE * w / max(1, n) ** 0.5 + np.bincount(a[1], change[a[0]], minlength=n) - np.bincount(b[1], change[b[0]], minlength=n), g.sum())
+        change = (np.bincount(a[0], w[a[1]], minlength=len(own)) - np.bincount(b[0], w[b[1]], minlength=len(own))) * (2.0 * SWAP / max(1, len(own)))
+        grad = np.append(np.bincount(c, g[r], minlength=n) + RIDGE * w / max(1, n) ** 0.5 + np.bincount(a[1], change[a[0]], minlength=n) - np.bincount(b[1], change[b[0]], minlength=n), g.sum()).astype(np.float64)
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         wb = wb - 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
     return wb[:-1], float(wb[-1])
@@ -212,8 +211,14 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     FEATURES at most; only their counts and which documents have
     them come to the driver. With labels of one kind only every score is 0 or 1 accordingly, and
     0 without labels or where no feature tells toxic documents."""
+    scratch = Scratch(docs.sparkSession)
+    model = _trained(docs, labels, scratch, doc_id, text, target, rows, identities)
+    scratch.keep()
+    return model
+
+
+def _trained(docs, labels, scratch, doc_id, text, target, rows, identities) -> Model:
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     told = sample(docs, labels, target, scratch, rows=rows, doc_id=doc_id, text=text)
     told = scratch.save(told.withColumn("row", F.monotonically_increasing_id()))
     sketches = told.select("row", "text", "label").mapInArrow(_sketch, "row bigint, label int, whole binary, least binary").orderBy("row").toArrow()
