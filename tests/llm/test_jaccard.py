@@ -82,5 +82,50 @@ def test_bitmaps_never_understate():
         assert J.differing(J.bitmap(a), J.bitmap(b)) <= n + m - 2 * both
 
 
-def test_boundary_is_where_lists_get_cheaper():
-    assert 5 <= J.boundary(80) <= 12 and J.boundary(95) > J.boundary(80)
+def test_boundary_has_the_least_cost():
+    from math import comb
+
+    rng = random.Random(7)
+    for _ in range(20):
+        sizes, length = {n: rng.randint(0, 1000) for n in range(1, 40)}, rng.choice([1.0, 2.5, 40.0, 3000.0])
+
+        def cost(light):
+            out = 0
+            for n, many in sizes.items():
+                if n <= light:
+                    out += many * sum(comb(n, J.overlap(n, m, 80)) for m in range(-(-80 * n // 100), 100 * n // 80 + 1))
+                elif n <= J.MOST:
+                    out += many * (n - -(-80 * n // 100) + 1) * (1 + length)
+            return out
+
+        assert cost(J.boundary(80, sizes, length)) == min(cost(x) for x in range(J.MOST + 1))
+    some = dict.fromkeys(range(1, 30), 10)
+    assert J.boundary(80, some, 1.0) < J.boundary(80, some, 1000.0) and J.boundary(80, {}, 1.0) == 0
+
+
+def test_any_boundary_and_hot_lists_give_the_same(spark, monkeypatch):
+    docs = made(5, 120)
+    rng = random.Random(8)
+    base = [f"h{i}" for i in range(60)]
+    for i in range(60):  # near copies of one text: long lists, dealt to several tasks
+        w = list(base)
+        w[rng.randrange(60)] = f"v{i}"
+        docs.append((1000 + i, " ".join(w)))
+    df, want = spark.createDataFrame(docs, "doc_id bigint, text string"), brute(docs)
+    for light, hot in ((0, 4096), (5, 16), (11, 16)):
+        monkeypatch.setattr(J, "boundary", lambda *_, light=light: light)
+        monkeypatch.setattr(J, "HOT", hot)
+        got = J.classes(df).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == want, (light, hot)
+
+
+def test_functions_travel_without_caches():
+    """What a process has cached isn't sent with the functions that use it."""
+    from pyspark import cloudpickle
+
+    from tidemark.llm import decontaminate, embeddings, lm, quality, text, toxicity
+
+    decontaminate._words("some words")
+    text.powers(1 << 21)
+    for f in (J._sketch(5, 22), J._blobs(5), quality._count, toxicity._present, toxicity._sketch, lm._vocabulary, lm._ask(8), embeddings._link(0.9, None, "<f4"), decontaminate._annotate(None, 0, [])):
+        assert len(cloudpickle.dumps(f)) < 100_000

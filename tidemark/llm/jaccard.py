@@ -18,10 +18,16 @@ SKETCH_BITS = 22
 OFTEN, LISTED = 16, 1 << 19
 #: Sets up to which a list is joined with itself; longer lists are compared in blocks of sets.
 LIST, BLOCK = 32, 2048
+#: Largest set that may meet under subsets, whatever the costs.
+MOST = 16
+#: Sets of a list from which on it is dealt to several tasks for its hubs.
+HOT = 4096
 #: Shingles that a task sorts at a time.
 AT_ONCE = 4_000_000
 #: Rows of a key list (16 bytes each) up to which it is broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 500_000
+#: What else the sketch counts; sizes are slots -1 to -MOST.
+_ALL, _DISTINCT = -1000, -1001
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -46,21 +52,17 @@ def shingle_sets(w: Words, k: int):
             yield every[:0]
 
 
-def boundary(percent: int, most: int = 24) -> int:
-    """Largest size up to which enumerating subsets is cheaper than scanning inverted lists.
+def boundary(percent: int, sizes: dict, length: float, most: int = MOST) -> int:
+    """Largest size of the sets that meet under subsets: of all boundaries up to `most`, the one of
+    least cost over the sets that there are, `sizes` (size: how many).
 
-    A set of n emits, for each size m of a partner, all its subsets of the overlap that n and m
-    need; partners meet in a subset. In lists it emits its n - least overlap + 1 rarest shingles,
-    and a partner that is met must be compared in full, at a cost of n."""
-    best = 0
-    for n in range(1, most + 1):
-        low, high = -(-percent * n // 100), 100 * n // percent
-        subsets = sum(comb(n, overlap(n, m, percent)) for m in range(low, high + 1))
-        lists = (n - low + 1) * (1 + n)
-        if subsets > lists:
-            break
-        best = n
-    return best
+    A set under subsets costs one row for each subset of each overlap that a partner of any size
+    asks for; a set in lists one row for each of its rarest shingles and, in each, a comparison with
+    the others of the list, `length` of them on average."""
+    under = {n: sum(comb(n, overlap(n, m, percent)) for m in range(-(-percent * n // 100), 100 * n // percent + 1)) for n in range(1, most + 1)}
+    within = {n: (n - -(-percent * n // 100) + 1) * (1 + length) for n in range(1, most + 1)}
+    cost = [sum(sizes.get(n, 0) * (under[n] if n <= light else within[n]) for n in under) for light in range(most + 1)]
+    return cost.index(min(cost))
 
 
 def _subsets(s: np.ndarray, percent: int, light: int):
@@ -90,28 +92,34 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def _sketch(k: int, bits: int):
-    """How often a task meets shingles that it meets again, by slot."""
+    """How often a task meets shingles that it meets again, by slot; as slot -n, how many sets of
+    size n up to MOST it has; and as slots _ALL and _DISTINCT, shingles and different ones."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, sizes = [], 0, np.zeros(MOST + 1, np.int64)
 
         def flush():
             h = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
             n = np.diff(np.append(at, len(h)))
             slot = (h[at[n > 1]] >> np.uint64(64 - bits)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))[: len(slot)]
             total = np.add.reduceat(n[n > 1], first) if len(first) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(slot[first], pa.int32()), pa.array(total, pa.int64())], ["slot", "n"])
+            slot = np.concatenate((slot[first], -np.arange(1, MOST + 1), [_ALL, _DISTINCT]))
+            total = np.concatenate((total, sizes[1:], [len(h), len(at)]))
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total, pa.int64())], ["slot", "n"])
 
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 for s in shingle_sets(Words(data, offsets, SPACED), k):
                     held.append(s)
                     size += len(s)
+                    if len(s) <= MOST:
+                        sizes[len(s)] += 1
                 if size >= AT_ONCE:
                     yield flush()
                     held, size = [], 0
+                    sizes[:] = 0
         if size:
             yield flush()
 
@@ -286,8 +294,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
 
     Documents link when 100 * intersection >= percent * union of their sets of k-word shingles;
     component_id is the smallest doc_id that links reach. Equal sets are one vertex throughout, so
-    copies cost no pairs. Sets up to boundary() meet under subsets of a fixed size, larger ones in
-    inverted lists of their rarest shingles (prefix filter; the order may be any, so an inexact
+    copies cost no pairs. Sets up to boundary(), which follows from the sizes and shingles that
+    there are, meet under subsets of a fixed size, larger ones in inverted lists of their rarest shingles (prefix filter; the order may be any, so an inexact
     table of frequent shingles gives it). In each list, sets of like size first meet one of their
     number only, and what that links is a component; then only sets of different components that
     share a list meet, those of long lists in blocks that list no pairs. So groups of near copies
@@ -299,28 +307,44 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    light = boundary(percent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
-    often = rows.select("text").mapInArrow(_sketch(k, sketch_bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    often = often.orderBy(F.desc("n"), "slot").limit(LISTED).select("slot", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
-    levels = ship(spark, (often["slot"].to_numpy(), often["level"].to_numpy()))
+    seen = scratch.save(rows.select("text").mapInArrow(_sketch(k, sketch_bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where((F.col("slot") < 0) | (F.col("n") >= OFTEN)))
+    told = {r["slot"]: r["n"] for r in seen.where("slot < 0").collect()}  # some MOST + 2 rows
+    often = seen.where("slot >= 0").orderBy(F.desc("n"), "slot").limit(LISTED).select("slot", "n").toArrow()
+    light = boundary(percent, {-x: n for x, n in told.items()}, told.get(_ALL, 0) / max(1, told.get(_DISTINCT, 0)))
+    slot, number = often["slot"].to_numpy(), often["n"].to_numpy()
+    levels = ship(spark, (slot, np.floor(np.log2(np.maximum(number, 1))).astype(np.uint8)))
     sets = scratch.save(rows.mapInArrow(_sets(k, percent, light, sketch_bits, levels), "doc_id bigint, tk bigint, n bigint, sign bigint, tokens array<bigint>, bits binary"))
     own = scratch.save(sets.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("least"), F.min("tk").alias("tk"), F.max("n").alias("n")))
 
-    token, like = Window.partitionBy("token"), Window.partitionBy("token", "band")
+    c = F.col
     met = sets.where("tokens is not null").select("sign", "n", F.posexplode("tokens").alias("pos", "token"))
-    met = met.withColumn("pos", F.when(F.col("n") <= light, F.lit(0)).otherwise(F.col("pos")))
-    met = met.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
+    met = met.withColumn("pos", F.when(c("n") <= light, F.lit(0)).otherwise(c("pos")))
+    met = met.withColumn("band", F.floor(F.log(c("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
+    # lists that the sketch tells to be long are dealt to tasks by set; each part has hubs of its own
+    hot = np.flatnonzero(number >= HOT)
+    parts = F.lit(1)
+    if len(hot):
+        long = spark.createDataFrame(pa.table({"slot": pa.array(slot[hot], pa.int32()), "parts": pa.array(-(-number[hot] // HOT), pa.int32())}))
+        met = met.join(small(long), F.shiftrightunsigned("token", 64 - sketch_bits) == c("slot"), "left")
+        parts = F.coalesce("parts", F.lit(1))
+    met = met.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("sign"), parts)})
+    token, like = Window.partitionBy("token", "part"), Window.partitionBy("token", "part", "band")
     met = met.withColumn("hub", F.min(F.struct("sign", "n", "pos")).over(like)).withColumns({"low": F.min("sign").over(token), "high": F.max("sign").over(token)})
-    met = scratch.save(met.where("low < high").select("token", "sign", "n", "pos", "hub"))
+    met = scratch.save(met.where("low < high or parts > 1").select("token", "sign", "n", "pos", "band", "hub", "parts"))
 
     def possible(n, m, i, j):
         need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
         return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(1) + F.least(n - i - 1, m - j - 1) >= need)
 
-    c = F.col
     stars = met.where((c("sign") != c("hub.sign")) & possible(c("n"), c("hub.n"), c("pos"), c("hub.pos")))
-    stars = scratch.save(stars.select("sign", c("hub.sign").alias("other")).distinct())
+    stars = stars.select("sign", c("hub.sign").alias("other"))
+    if len(hot):  # the hubs of the parts of a list meet the least of them
+        hubs = met.where("parts > 1").select("token", "band", "hub").distinct()
+        top = hubs.groupBy(c("token").alias("tt"), c("band").alias("tb")).agg(F.min("hub").alias("top"))
+        hubs = hubs.join(top, (c("token") == c("tt")) & (c("band") == c("tb"))).where((c("hub.sign") != c("top.sign")) & possible(c("hub.n"), c("top.n"), c("hub.pos"), c("top.pos")))
+        stars = stars.unionByName(hubs.select(c("hub.sign").alias("sign"), c("top.sign").alias("other")))
+    stars = scratch.save(stars.distinct())
 
     def maps_of(signs: DataFrame) -> DataFrame:
         found = sets.where("bits is not null").select("sign", "n", "bits").join(small(signs), c("sign") == c("key"), "left_semi")
@@ -367,8 +391,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     def lists(comp: DataFrame) -> DataFrame:
         """Lists that sets of more than one component share, with their sizes."""
         at = met.join(comp, c("sign") == c("node"), "left").select("token", "sign", "n", "pos", F.coalesce("component", "sign").alias("comp")).dropDuplicates(["token", "sign"])
-        at = at.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token), "size": F.count("*").over(token)})
-        return at.where("low < high").drop("low", "high")
+        apart = at.groupBy(c("token").alias("t")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
+        return at.join(apart.select("t", "size"), c("token") == c("t")).drop("t")
 
     # Short lists: all pairs of sets that are still apart.
     split = scratch.save(lists(comp).where(c("size") <= LIST).drop("size"))
@@ -387,11 +411,12 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
         blobs = blobs_of(hopeful.select(c("sign").alias("key")).distinct()).select(c("sign").alias("key"), "blob")
         found = hopeful.join(blobs, c("sign") == c("key")).drop("key").groupBy("token", "a", "b").applyInArrow(_joining(percent), "u bigint, v bigint")
         comp = linked(comp, scratch.save(found.distinct()))
-    scratch.drop(met, split, long)
     whole = own.join(comp, c("sign") == c("node"), "left").select("sign", F.coalesce("component", "sign").alias("comp"), "least")
     name = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
     name = whole.join(name, "comp").select(c("sign").alias("s"), "component_id")
-    return sets.join(name, c("sign") == c("s"), "left").select("doc_id", "tk", c("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = scratch.save(sets.join(name, c("sign") == c("s"), "left").select("doc_id", "tk", c("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    scratch.keep(out)
+    return out
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
@@ -399,7 +424,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     repeat an id in one component, the one with the least text hash, once. Documents without words
     all stay, and so do rows without an id that no row with an id is linked with."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(classes(docs, doc_id=doc_id, text=text, scratch=scratch, **more))
+    rows = classes(docs, doc_id=doc_id, text=text, scratch=scratch, **more)
     worded = rows.where("n_shingles > 0 and component_id is not null")
     first = worded.where("doc_id = component_id").groupBy("component_id").agg(F.min("tk").alias("best"))
     goes = worded.join(first.withColumnRenamed("component_id", "c"), F.col("component_id") == F.col("c"))
@@ -407,7 +432,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     goes = scratch.save(goes.select(F.col("doc_id").alias("__tm_id"), F.col("tk").alias("__tm_tk")).distinct())
     key = F.xxhash64(F.col(f"`{text}`"))
     kept = docs.join(small(goes), F.col(f"`{doc_id}`").eqNullSafe(F.col("__tm_id")) & (key == F.col("__tm_tk")), "left_anti")
+    scratch.keep(rows, goes)
     again = scratch.save(worded.where("doc_id is not null").groupBy(F.col("doc_id").alias("__tm_id"), F.col("tk").alias("__tm_tk")).count().where("count > 1").drop("count"))
+    scratch.keep(goes, again)
     if not again.limit(1).count():
         return kept
     same = (F.col(f"`{doc_id}`") == F.col("__tm_id")) & (key == F.col("__tm_tk"))
