@@ -10,6 +10,10 @@ from tidemark.llm.store import Scratch
 from tidemark.llm.toxicity import civil
 
 
+#: Words of a benchmark passage that is cut from a document that stays: a window of the contract.
+SPAN = 13
+
+
 def quality(spark, docs, sf_dir):
     """Documents that resampling toward those labelled good rejects go."""
     return good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,8 +30,10 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def contamination(spark, docs, sf_dir):
-    """Documents with benchmark passages in a twentieth of their words or more go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents with benchmark passages in a twentieth of their words or more go; from the others,
+    passages of SPAN words or more are cut, and n_chars follows."""
+    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_span=SPAN)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def mixture(spark, docs, sf_dir):
@@ -53,4 +59,5 @@ def run(spark, sf_dir):
     scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
