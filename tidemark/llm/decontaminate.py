@@ -232,7 +232,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, max_share: float = 0.05,
     found = find(docs, items, text=text, **more).where(~contaminated(max_share))
     if max_span is not None:
         cut = F.pandas_udf(_cutter(max_span), "string")
-        found = found.withColumn(text, F.when(F.size("__tm_spans") > 0, cut(F.col(text), F.transform("__tm_spans", lambda s: F.array(s["start"], s["end"])))).otherwise(F.col(text)))
+        long = F.exists("__tm_spans", lambda s: s["end"] - s["start"] >= max_span)
+        # only texts with something to cut go to Python
+        rest = cut(F.when(long, F.col(text)), F.when(long, F.transform("__tm_spans", lambda s: F.array(s["start"], s["end"]))))
+        found = found.withColumn(text, F.coalesce(rest, F.col(text)))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -242,6 +245,9 @@ def _cutter(least: int):
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(texts, spans):
+            if t is None:
+                out.append(None)
+                continue
             data = t.encode()
             w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM)
             kept, at = [], 0
