@@ -129,7 +129,7 @@ def _scan(w: Words, automaton: Automaton, keys: np.ndarray, order: np.ndarray, w
                 yield int(row[i]), i + 1 - size, i + 1, items
 
 
-def _annotate(shared, text_at: int, names: list):
+def _annotate(shared, text_at: int, names: list, max_span: int | None = None):
     def run(batches):
         automaton = received(shared)
         words = list(automaton.ids)
@@ -158,8 +158,16 @@ def _annotate(shared, text_at: int, names: list):
                 for k, (s, t) in enumerate(zip(batch.column("__tm_spans").to_pylist(), batch.column("__tm_items").to_pylist())):
                     spans[k] += [(x["start"], x["end"]) for x in s]
                     items[k] |= set(t)
+            spans = [_merge(s) for s in spans]
+            if max_span is not None:
+                long = [i for i, s in enumerate(spans) if any(b - a >= max_span for a, b in s)]
+                if long:
+                    rest = text.to_pylist()
+                    for i in long:
+                        rest[i] = _cut(rest[i], spans[i], max_span)
+                    kept[names[text_at]] = pa.array(rest, text.type)
             yield pa.RecordBatch.from_arrays(
-                [*kept.values(), pa.array(counts), pa.array([[{"start": a, "end": b} for a, b in _merge(s)] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(t) for t in items], pa.list_(pa.string()))],
+                [*kept.values(), pa.array(counts), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(t) for t in items], pa.list_(pa.string()))],
                 [*kept, "__tm_words", "__tm_spans", "__tm_items"],
             )
 
@@ -176,13 +184,15 @@ def _merge(spans):
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS, max_span: int | None = None) -> DataFrame:
     """`docs` with __tm_words (words of the text), __tm_spans (hit words, merged, by position) and
     __tm_items (ids, as strings, of items with a window that occurs).
 
     The texts of one block of items, at most about `block_words` words plus one item, are collected
     and broadcast as one automaton; each further block is one more pass over the documents, so
     driver and workers hold one automaton whatever the size of the benchmark. There is no shuffle.
+    With `max_span`, hit spans of at least so many words are cut from the texts; what is told of
+    them is as before the cut.
 
     Null and empty texts have no words, no spans and no items. Items without words have no window.
     Rows of one item_id are one item; a null id counts as the empty string. Repeated documents are
@@ -198,7 +208,7 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
         rows = [(r["k"], _words(r["t"])) for r in sorted(part)]
         shared = ship(spark, Automaton(rows, window))
         schema = T.StructType([*docs.schema.fields, *ADDED.fields])
-        out = out.mapInArrow(_annotate(shared, names.index(text), names), schema)
+        out = out.mapInArrow(_annotate(shared, names.index(text), names, max_span if b + 1 == blocks else None), schema)
         if b + 1 < blocks:
             new = scratch.save(out)
             if last is not None:
@@ -229,37 +239,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, max_share: float = 0.05,
     A document whose hit words make up `max_share` or more goes. With `max_span`, hit spans of at
     least so many words are cut from the texts of those that stay; null leaves texts as they are.
     """
-    found = find(docs, items, text=text, **more).where(~contaminated(max_share))
-    if max_span is not None:
-        cut = F.pandas_udf(_cutter(max_span), "string")
-        long = F.exists("__tm_spans", lambda s: s["end"] - s["start"] >= max_span)
-        # only texts with something to cut go to Python
-        rest = cut(F.when(long, F.col(text)), F.when(long, F.transform("__tm_spans", lambda s: F.array(s["start"], s["end"]))))
-        found = found.withColumn(text, F.coalesce(rest, F.col(text)))
+    found = find(docs, items, text=text, max_span=max_span, **more).where(~contaminated(max_share))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _cutter(least: int):
-    import pandas as pd
-
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, spans):
-            if t is None:
-                out.append(None)
-                continue
-            data = t.encode()
-            w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM)
-            kept, at = [], 0
-            for a, b in s:
-                if b - a >= least:
-                    kept.append(data[at : w.starts[a]])
-                    at = int(w.ends[b - 1])
-            out.append(b"".join([*kept, data[at:]]).decode())
-        return pd.Series(out, dtype=object)
-
-    cut.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "return": pd.Series}
-    return cut
+def _cut(text: str, spans, least: int) -> str:
+    """The text without its spans of `least` words and more, from their first word to their last."""
+    data = text.encode()
+    w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM)
+    kept, at = [], 0
+    for a, b in spans:
+        if b - a >= least:
+            kept.append(data[at : w.starts[a]])
+            at = int(w.ends[b - 1])
+    return b"".join([*kept, data[at:]]).decode()
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

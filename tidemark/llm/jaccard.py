@@ -23,7 +23,7 @@ MOST = 16
 #: Sets of a list from which on it is dealt to several tasks for its hubs.
 HOT = 4096
 #: Shingles that a task sorts at a time.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Rows of a key list (16 bytes each) up to which it is broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 500_000
 #: What else the sketch counts; sizes are slots -1 to -MOST.
@@ -167,12 +167,12 @@ def _sets(k: int, percent: int, light: int, bits: int, levels):
 def _blobs(k: int):
     def run(batches):
         for batch in batches:
-            signs, blobs = [], []
             for _, data, offsets in slices(batch.column(0)):
+                signs, blobs = [], []
                 for s in shingle_sets(Words(data, offsets, SPACED), k):
                     signs.append(int((mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
                     blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())], ["sign", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())], ["sign", "blob"])
 
     return run
 

@@ -19,9 +19,9 @@ PROBED = 2_000_000
 #: Bits of the filter for each member. A lookup probes four bits in each of two words.
 BITS_EACH = 14
 #: n-grams that one task adds up at a time, on either side of the shuffle.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Bytes of text whose n-grams are looked up at a time.
-PACK_BYTES = 6 << 20
+PACK_BYTES = 4 << 20
 #: Tokens with at least this share of all training tokens have their exact count broadcast, so
 #: there are at most 1 / HEAVY of them.
 HEAVY = 1 / 2_000_000

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 class _Cache(dict):
@@ -52,7 +52,7 @@ def powers(n: int):
         up, down = np.full(size, p, np.uint64), np.full(size, pow(p, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         kept = (np.cumprod(up), np.cumprod(down))
-        if size > 8 * SLICE_BYTES:  # a rare very long text: not kept
+        if size > 16 * SLICE_BYTES:  # a rare very long text: not kept
             return kept
         _POWERS.update(n=size, value=kept)
     return _POWERS["value"]

@@ -40,9 +40,10 @@ _U = np.uint64
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = 2 + len(BEGINNINGS)
 _TAG = mix(np.arange(1, KINDS + 1, dtype=np.uint64))
-#: Jaccard similarity of word pairs from which a labelled text is a copy; seeds of its min-hashes.
-COPY = 0.8
-_SEEDS = mix(np.arange(101, 197, dtype=np.uint64))
+#: Jaccard similarity of word pairs from which a labelled text is a copy; how many of its least
+#: pair hashes estimate it; and seeds of the min-hashes that tell which texts are compared.
+COPY, LOW = 0.8, 96
+_SEEDS = mix(np.arange(101, 131, dtype=np.uint64))
 
 
 def features(w: Words):
@@ -62,7 +63,7 @@ def features(w: Words):
 
 
 def _sketch(batches):
-    """Label, hash of all words in order, and min-hashes of the word pairs of each text."""
+    """Label, hash of all words in order, and min-hashes and least hashes of each text's word pairs."""
     for batch in batches:
         whole, least = [], []
         for _, data, offsets in slices(batch.column(1)):
@@ -71,14 +72,14 @@ def _sketch(batches):
             for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
                 own = np.unique(pair[a : b - 1] if b - a > 1 else w.hashes[a:b])
                 whole.append(hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=16).digest())
-                least.append(b"".join(mix(own ^ seed).min().tobytes() for seed in _SEEDS) if len(own) else b"")
+                least.append(np.concatenate((mix(own[None] ^ _SEEDS[:, None]).min(axis=1), own[:LOW])).tobytes() if len(own) else b"")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole, pa.binary()), pa.array(least, pa.binary())], ["row", "label", "whole", "least"])
 
 
 def firsts(rows) -> list:
     """Of rows (row, label, whole, least), those that are no copies of an earlier kept one under
     the same label: the same words in the same order, or word pairs with an estimated Jaccard
-    similarity of COPY or more. Only texts with equal bands, of three min-hashes, are compared,
+    similarity of COPY or more. Only texts with an equal band, of three min-hashes, are compared,
     which leaves out less than 1 in 1000 of the pairs at COPY. Rows without words go."""
     kept, met, known = [], set(), {}
     for row, label, whole, least in rows:
@@ -86,9 +87,9 @@ def firsts(rows) -> list:
             continue
         met.add((label, whole))
         keys = [(label, i, least[24 * i : 24 * i + 24]) for i in range(10)]
-        least = np.frombuffer(least, np.uint64)
+        least = np.frombuffer(least, np.uint64)[len(_SEEDS) :]
         near = {id(o): o for k in keys for o in known.get(k, ())}.values()
-        if any((o == least).mean() >= COPY for o in near):
+        if any(alike(o, least) >= COPY for o in near):
             continue
         kept.append(row)
         for k in keys:
@@ -96,6 +97,13 @@ def firsts(rows) -> list:
     return kept
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, estimated from the least LOW hashes of each: the share of
+    the least of both together that both have; exact for sets of no more."""
+    both = np.union1d(a, b)[:LOW]
+    return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / len(both)
+
+
 def _present(batches):
     """Distinct features of each text, counted by label."""
     count: dict = {}
