@@ -21,7 +21,7 @@ BITS_EACH = 14
 #: n-grams that one task adds up at a time, on either side of the shuffle.
 AT_ONCE = 1_000_000
 #: Bytes of text whose n-grams are looked up at a time.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 8 << 20
 #: Tokens with at least this share of all training tokens have their exact count broadcast, so
 #: there are at most 1 / HEAVY of them.
 HEAVY = 1 / 2_000_000
@@ -58,7 +58,7 @@ def ngrams(t: np.ndarray, first: np.ndarray):
 
 def _counted(h: np.ndarray, n: np.ndarray | None = None):
     """Distinct hashes, ascending, and how often each is there."""
-    order = np.argsort(h, kind="stable") if n is not None else None
+    order = np.argsort(h) if n is not None else None
     h = np.sort(h) if order is None else h[order]
     if not len(h):
         return h, np.zeros(0, np.int64)
@@ -78,27 +78,29 @@ def bounds(level: np.ndarray, order: int):
     return np.where(level > 0, low, 0.0), np.where(level > 0, high, 0.0)
 
 
-def _pack(h: np.ndarray, n: np.ndarray, shards: int, order: int):
-    """Rows (shard, order, hashes, counts): the low 40 bits of each hash, and counts of 255 and
-    more spelled out."""
-    shard = ((h >> _U(40)) % _U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
-    by = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[by], np.arange(shards + 1))
-    low = (h & _U((1 << 40) - 1))[by].view(np.uint8).reshape(-1, 8)[:, :5]
-    n = n[by]
-    few = np.minimum(n, 255).astype(np.uint8)
+def _key(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each n-gram, by the upper half of its hash, before the lower half, which names
+    it there: in the order of these keys n-grams are asked for and answered."""
+    return ((h >> _U(32)) % _U(shards)) << _U(32) | (h & _U(0xFFFFFFFF))
+
+
+def _pack(key: np.ndarray, n: np.ndarray, shards: int, order: int):
+    """Rows (shard, order, names, counts) of ascending keys. Names are spelled out byte by byte, the
+    lowest bytes of all first, so that ascending upper bytes compress; of counts, those of 255 and
+    more are told apart."""
+    ends = np.searchsorted(key, np.arange(shards + 1, dtype=np.uint64) << _U(32))
+    low, few = key.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
     many = few == 255
     for s in np.flatnonzero(np.diff(ends)).tolist():
         a, b = ends[s], ends[s + 1]
-        yield s, order, low[a:b].tobytes(), few[a:b].tobytes(), n[a:b][many[a:b]].astype(np.int64).tobytes()
+        yield s, order, low[a:b].view(np.uint8).reshape(-1, 4).T.tobytes(), few[a:b].tobytes(), n[a:b][many[a:b]].astype(np.int64).tobytes()
 
 
-def _unpack(hashes: bytes, few: bytes, many: bytes):
-    h = np.zeros((len(few), 8), np.uint8)
-    h[:, :5] = np.frombuffer(hashes, np.uint8).reshape(-1, 5)
+def _unpack(names: bytes, few: bytes, many: bytes):
+    h = np.ascontiguousarray(np.frombuffer(names, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
     n = np.frombuffer(few, np.uint8).astype(np.int64)
     n[n == 255] = np.frombuffer(many, np.int64)
-    return h.reshape(-1).view(np.uint64), n
+    return h, n
 
 
 _PACKED = pa.schema([("shard", pa.int32()), ("ord", pa.int32()), ("h", pa.binary()), ("few", pa.binary()), ("many", pa.binary())])
@@ -208,7 +210,7 @@ def _ask(shards: int):
             for n, h in ngrams(t, first)[0].items():
                 held[n].append(h)
         learn = np.concatenate(flags).astype(np.int64)
-        rows = [r for n, parts in held.items() for r in _pack(*_counted(np.concatenate(parts), learn), shards, n)]
+        rows = [r for n, parts in held.items() for r in _pack(*_counted(_key(np.concatenate(parts), shards), learn), shards, n)]
         pack = table.column("pack")[0].as_py()
         return pa.table([pa.array([pack] * len(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED))], schema=_ASKED)
 
@@ -225,7 +227,7 @@ def _answer(table: pa.Table) -> pa.Table:
         h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         count = np.zeros(len(h), np.int64)
         np.add.at(count, where, np.concatenate([p[1] for p in parts]))
-        all_ = Filter(h, np.where(count > 0, level(count, n), 0)).levels(h).astype(np.uint8)[where]
+        all_ = Filter(h := h.astype(np.uint64), np.where(count > 0, level(count, n), 0)).levels(h).astype(np.uint8)[where]
         ends = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
         for i, a, b in zip(rows, ends, ends[1:]):
             levels[i] = all_[a:b].tobytes()
@@ -234,11 +236,10 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _told(h: np.ndarray, shards: int, answers: list):
     """Levels of the n-grams h of a pack, from the answers by ascending shard to what _ask sent."""
-    own, where = np.unique(h, return_inverse=True)
-    by = np.argsort((own >> _U(40)) % _U(shards), kind="stable")
-    levels = np.zeros(len(own), np.int64)
-    levels[by] = np.frombuffer(b"".join(answers), np.uint8)
-    return levels[where]
+    own, where = np.unique(_key(h, shards), return_inverse=True)
+    levels = np.frombuffer(b"".join(answers), np.uint8)
+    assert len(levels) == len(own)
+    return levels[where].astype(np.int64)
 
 
 def _score(shards: int, shared, starts: float, total: int, distinct: int):
@@ -308,7 +309,7 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     packs, shards = max(12, -(-size // PACK_BYTES)), max(12, -(-size // 4 * ORDER // PROBED))
     dealt = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)))
     asked = dealt.groupBy("pack").applyInArrow(_ask(shards), "pack bigint, shard int, ord int, h binary, few binary, many binary")
-    told = scratch.save(asked.groupBy("shard").applyInArrow(_answer, "pack bigint, shard int, ord int, levels binary"))
+    told = scratch.save(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, "pack bigint, shard int, ord int, levels binary"))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, score double, base double, known bigint, rare array<bigint>, times array<int>"
     schema = schema.replace("bigint", rows.schema["doc_id"].dataType.simpleString(), 1)
     for _ in range(2):  # what the first call lets go of, the second finds unused
