@@ -38,7 +38,7 @@ def blank_to_null(c) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
 
-def lenient_timestamp(c, formats=("dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss")) -> Column:
+def lenient_timestamp(c, formats=("dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")) -> Column:
     """The first format that fits; null where none does."""
     return F.coalesce(*[F.try_to_timestamp(col(c), F.lit(f)) for f in formats])
 

@@ -55,8 +55,11 @@ def excess_incidence(days: DataFrame, baseline: DataFrame) -> DataFrame:
     each = days.select("mmsi", "day", F.explode("cells").alias("c")).select("mmsi", "day", "c.cell", "c.n_rows", "c.n_jumps")
     b = baseline.select(F.col("cell").alias("bc"), F.col("day").alias("bd"), "share")
     each = each.join(b, (F.col("cell") == F.col("bc")) & (F.col("day") == F.col("bd")), "left")
-    out = each.groupBy("mmsi", "day").agg(F.sum("n_jumps").alias("n_jumps"), (F.sum(F.col("n_rows") * F.coalesce("share", F.lit(0.0))) / F.sum("n_rows")).alias("expected"), F.count("*").alias("n_cells"))
-    return out.select("mmsi", "day", "n_jumps", F.round("expected", 6).alias("expected"), F.round(F.when(F.col("n_jumps") > 0, 1.0).otherwise(0.0) - F.col("expected"), 6).alias("excess"), "n_cells")
+    # in decimals, whose sums and ties don't depend on the order of rows
+    part = F.sum(F.col("n_rows") * F.coalesce(F.col("share").cast("decimal(20,12)"), F.lit(0).cast("decimal(20,12)"))).cast("double") / F.sum("n_rows")
+    out = each.groupBy("mmsi", "day").agg(F.sum("n_jumps").alias("n_jumps"), F.round(part.cast("decimal(20,12)"), 6).alias("expected"), F.count("*").alias("n_cells"))
+    own = F.when(F.col("n_jumps") > 0, F.lit(1)).otherwise(F.lit(0))
+    return out.select("mmsi", "day", "n_jumps", F.col("expected").cast("double").alias("expected"), (own - F.col("expected")).cast("double").alias("excess"), "n_cells")
 
 
 def churn(reports: DataFrame, value: str, *, min_days: int = 5) -> DataFrame:

@@ -20,9 +20,12 @@ def end_of(cutoff) -> F.Column:
 
 def known(rows: DataFrame, at: DataFrame, lookback: int | None) -> DataFrame:
     """rows(mmsi, observed_at) with cutoff and entity: of the look-back window, or of all time.
-    at(cutoff, mmsi, entity) has the entity of each transmitter at each cutoff."""
-    a = at.select("cutoff", F.col("mmsi").alias("am"), "entity")
-    out = rows.join(a, (F.col("mmsi") == F.col("am")) & (F.col("observed_at") <= end_of("cutoff"))).drop("am")
+    at(cutoff, mmsi, entity) has the entity of each transmitter at each cutoff. Rows that have
+    cutoff and entity already, of all time, are only cut to the window."""
+    out = rows
+    if not {"cutoff", "entity"} <= set(rows.columns):
+        a = at.select("cutoff", F.col("mmsi").alias("am"), "entity")
+        out = rows.join(a, (F.col("mmsi") == F.col("am")) & (F.col("observed_at") <= end_of("cutoff"))).drop("am")
     return out if lookback is None else out.where(F.col("observed_at") >= F.date_sub("cutoff", lookback).cast("timestamp_ntz"))
 
 
@@ -62,7 +65,7 @@ def destinations(statics: DataFrame, at: DataFrame, lookback: int) -> DataFrame:
 
 def spoof(excess: DataFrame, at: DataFrame, lookback: int) -> DataFrame:
     """excess(mmsi, observed_at, excess)."""
-    return known(excess, at, lookback).groupBy(*_BY).agg(F.round(F.avg("excess"), 6).alias("spoof_jump_rate_excess"))
+    return known(excess, at, lookback).groupBy(*_BY).agg(F.round((F.sum(F.col("excess").cast("decimal(18,6)")).cast("double") / F.count("excess")).cast("decimal(20,12)"), 6).cast("double").alias("spoof_jump_rate_excess"))
 
 
 def third_party(events: DataFrame, at: DataFrame, lookback: int, offshore_km: float = 92.6) -> DataFrame:
@@ -105,7 +108,7 @@ def meetings(transfers: DataFrame, at: DataFrame, lookback: int) -> DataFrame:
 
 def detections(loiter: DataFrame, draught: DataFrame, at: DataFrame, lookback: int) -> DataFrame:
     """loiter(mmsi, observed_at, hours); draught(mmsi, observed_at, moored_between, met_between)."""
-    a = known(loiter, at, lookback).groupBy(*_BY).agg(F.round(F.sum("hours"), 6).alias("anchorage_loitering_hours"))
+    a = known(loiter, at, lookback).groupBy(*_BY).agg(F.round(F.sum(F.col("hours").cast("decimal(18,6)")).cast("double"), 6).alias("anchorage_loitering_hours"))
     d = known(draught, at, lookback).groupBy(*_BY)
     d = d.agg(F.count(F.when(F.col("met_between"), 1)).alias("n_sts_with_draught_change"), F.count(F.when(~F.col("moored_between") & ~F.col("met_between"), 1)).alias("n_draught_inconsistencies"))
     return a.join(d, _BY, "full")

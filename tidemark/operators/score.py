@@ -51,12 +51,13 @@ def at_k(s: DataFrame, k: int, by=("cutoff",)) -> DataFrame:
 
 
 def average_precision(s: DataFrame, by=("cutoff",)) -> DataFrame:
-    """Sum over distinct scores, from the top, of the gain in recall times the precision there."""
+    """Sum over distinct scores, from the top, of the gain in recall times the precision there; null
+    where there are no positives."""
     by = list(by)
     g = s.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
     w = Window.partitionBy(*by).orderBy(F.desc("score"))
     g = g.withColumns({"tp": F.sum("p").over(w), "n": F.sum("c").over(w), "pos": F.sum("p").over(Window.partitionBy(*by))})
-    return g.groupBy(*by).agg(F.round(F.sum(F.col("p") / F.col("pos") * F.col("tp") / F.col("n")), 6).alias("average_precision"))
+    return g.groupBy(*by).agg(F.round(F.sum(F.when(F.col("pos") > 0, F.col("p") / F.nullif("pos", F.lit(0)) * F.col("tp") / F.col("n"))), 6).alias("average_precision"))
 
 
 def brier(s: DataFrame, by=("cutoff",)) -> DataFrame:
@@ -64,14 +65,15 @@ def brier(s: DataFrame, by=("cutoff",)) -> DataFrame:
 
 
 def psi(df: DataFrame, side: str, features: list, *, bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """(feature, psi) between rows with side 0, which give the quantile bins, and side 1."""
+    """(feature, psi) between rows with side 0, which give the quantile bins, and side 1; null where
+    either side has no rows. Features and bins are few, so edges are broadcast."""
     long = df.unpivot([side], features, "feature", "value").where("value is not null")
     steps = [i / bins for i in range(1, bins)]
     edges = long.where(F.col(side) == 0).groupBy("feature").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(x) for x in steps]))).alias("edges"))
     binned = long.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
     n = binned.groupBy("feature", "edges", "bin").agg(F.count(F.when(F.col(side) == 0, 1)).alias("a"), F.count(F.when(F.col(side) == 1, 1)).alias("b"))
     w = Window.partitionBy("feature")
-    pa, pb = (F.greatest(F.col(c) / F.sum(c).over(w), F.lit(eps)) for c in ("a", "b"))
+    pa, pb = (F.when(F.sum(c).over(w) > 0, F.greatest(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(eps))) for c in ("a", "b"))
     return n.withColumn("part", (pb - pa) * F.log(pb / pa)).groupBy("feature").agg(F.round(F.sum("part"), 4).alias("psi"))
 
 

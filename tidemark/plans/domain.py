@@ -4,11 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers_in, upper_median
+from ..operators import detect as D
 from ..operators import evidence as E
 from ..operators import features as X
 from ..operators import identity as R
 from ..operators import labels as L
 from ..operators import score as M
+from ..operators.reuse import settled
 from .adapter import ACT, CUT, HORIZON, LOOKBACK, POS, actions, cutoffs, positions
 
 QUERIES, SQL = {}, {}
@@ -97,10 +99,32 @@ def population_asof(spark, sf):
 TYPES = {"view": "gap", "click": "encounter", "purchase": "loitering", "error": "port_visit"}
 
 
-def _third_party(spark, sf):
+def _third_party(p):
     kind = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])[F.col("nav_status")]
-    p = positions(spark, sf)
-    return p.select("mmsi", "observed_at", "event_id", kind.alias("type"), F.col("sog").alias("hours"), (F.col("sog") * 2).alias("km"), F.col("k").cast("double").alias("shore_km"), (F.col("k") % 9 == 0).alias("listed"), (F.col("flag") == "PA").alias("interest"))
+    more = [c for c in ("cutoff", "entity") if c in p.columns]
+    return p.select(*more, "mmsi", "observed_at", "event_id", kind.alias("type"), F.col("sog").alias("hours"), (F.col("sog") * 2).alias("km"), F.col("k").cast("double").alias("shore_km"), (F.col("k") % 9 == 0).alias("listed"), (F.col("flag") == "PA").alias("interest"))
+
+
+DEC = "CAST(sum(CAST({} AS DECIMAL(18,6))) AS DECIMAL(38,6))"
+#: A mean in decimals: neither the order of rows nor the engine decides its last digit.
+MEAN = "CAST(round(CAST(CAST(sum(CAST({} AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS DECIMAL(20,12)), 6) AS DOUBLE)"
+SIDES = """mtg AS (SELECT mmsi AS a, 1 + mmsi % 150 AS b, observed_at, sog AS hours FROM pos WHERE nav_status = 'view'),
+sid AS (SELECT a AS mmsi, b AS other, observed_at, hours FROM mtg UNION ALL SELECT b, a, observed_at, hours FROM mtg),
+prt AS (SELECT x.cutoff, x.entity, y.entity AS partner, observed_at, hours FROM sid JOIN atc x ON x.mmsi = sid.mmsi JOIN atc y ON y.cutoff = x.cutoff AND y.mmsi = other
+  WHERE x.entity <> y.entity AND observed_at <= x.cutoff + INTERVAL 1 DAY - INTERVAL 1 SECOND)"""
+
+
+def _meetings(spark, sf):
+    p = positions(spark, sf).where("nav_status = 'view'")
+    return p.select(F.col("mmsi").alias("a"), (1 + F.col("mmsi") % 150).alias("b"), "observed_at", F.col("sog").alias("hours"))
+
+
+def _detections(p):
+    """Loitering and draught changes of rows p, with what else p has."""
+    more = [c for c in ("cutoff", "entity") if c in p.columns]
+    loiter = p.where("nav_status = 'purchase'").select("mmsi", "observed_at", F.col("sog").alias("hours"), *more)
+    draught = p.where("nav_status = 'click'").select("mmsi", "observed_at", (F.col("k") % 2 == 0).alias("moored_between"), (F.col("k") % 3 == 0).alias("met_between"), *more)
+    return loiter, draught
 
 
 FEATURES = f"""evt AS (SELECT mmsi, observed_at, event_id, CASE nav_status WHEN 'view' THEN 'gap' WHEN 'click' THEN 'encounter' WHEN 'purchase' THEN 'loitering' WHEN 'error' THEN 'port_visit' END AS type,
@@ -126,28 +150,41 @@ kid AS (SELECT cutoff, entity, itv.*, (mmsi <> lag(mmsi) OVER w) AS cm, (flag <>
 f_idn AS (SELECT cutoff, entity, greatest(count(DISTINCT name) - 1, 0) AS n_name_changes, count(*) FILTER (WHERE cm) AS n_mmsi_changes, count(*) FILTER (WHERE cf) AS n_flag_changes,
   CAST(coalesce(bool_or(cf AND flag IN ('PA', 'LR')), false) AS INTEGER) AS flag_to_convenience_registry, datediff('day', CAST(max(start_at) FILTER (WHERE cm OR cf OR cn) AS DATE), cutoff) AS days_since_last_identity_change,
   arg_max(coalesce(flag, '-'), (start_at, mmsi)) AS current_flag FROM kid GROUP BY 1, 2, cutoff),
-f_chn AS (SELECT cutoff, entity, count(DISTINCT mmsi) - 1 AS n_mmsi_number_churn FROM atc GROUP BY 1, 2),
+chd AS (SELECT mmsi, number, day, min(observed_at) AS t FROM pos WHERE number IS NOT NULL GROUP BY 1, 2, 3),
+che AS (SELECT mmsi, number, t FROM (SELECT *, row_number() OVER (PARTITION BY mmsi, number ORDER BY day) AS n FROM chd) WHERE n = 5),
+chc AS (SELECT * FROM (SELECT mmsi, t AS observed_at, lag(number) OVER (PARTITION BY mmsi ORDER BY t, number) AS old_value FROM che) WHERE old_value IS NOT NULL),
+f_chn AS (SELECT cutoff, entity, count(DISTINCT mmsi) - 1 + (SELECT count(*) FROM chc JOIN atc b ON b.mmsi = chc.mmsi WHERE b.cutoff = atc.cutoff AND b.entity = atc.entity AND observed_at <= b.cutoff + INTERVAL 1 DAY - INTERVAL 1 SECOND) AS n_mmsi_number_churn FROM atc GROUP BY 1, 2),
+f_spf AS (SELECT cutoff, entity, {MEAN.format('sog')} AS spoof_jump_rate_excess FROM knn GROUP BY 1, 2),
+{SIDES},
+f_mtg AS (SELECT cutoff, entity, count(*) AS n_sts_candidates FROM prt WHERE observed_at >= cutoff - {LOOKBACK} GROUP BY 1, 2),
+f_loi AS (SELECT cutoff, entity, round(CAST({DEC.format('sog')} AS DOUBLE), 6) AS anchorage_loitering_hours FROM knn WHERE nav_status = 'purchase' GROUP BY 1, 2),
+f_drf AS (SELECT cutoff, entity, count(*) FILTER (WHERE k % 3 = 0) AS n_sts_with_draught_change, count(*) FILTER (WHERE k % 2 <> 0 AND k % 3 <> 0) AS n_draught_inconsistencies FROM knn WHERE nav_status = 'click' GROUP BY 1, 2),
 lgt AS (SELECT cutoff, entity, length, row_number() OVER (PARTITION BY cutoff, entity ORDER BY count(*) DESC, length) AS n FROM knn GROUP BY 1, 2, 3)"""
 WIDE = """SELECT p.cutoff, p.entity, coalesce(n_transits, 0) AS n_transits, coalesce(n_days_observed, 0) AS n_days_observed, mean_transit_speed_kn, coalesce(n_laden_transits, 0) AS n_laden_transits, coalesce(n_ballast_transits, 0) AS n_ballast_transits,
   share_destination_of_interest, coalesce(n_gaps, 0) AS n_gaps, coalesce(gap_hours_total, 0) AS gap_hours_total, max_gap_distance_km, coalesce(n_gaps_offshore, 0) AS n_gaps_offshore, coalesce(n_encounters, 0) AS n_encounters,
   coalesce(n_encounters_with_listed_partner, 0) AS n_encounters_with_listed_partner, coalesce(n_loitering, 0) AS n_loitering, coalesce(loitering_hours, 0) AS loitering_hours, coalesce(n_port_visits, 0) AS n_port_visits,
   coalesce(n_port_visits_of_interest, 0) AS n_port_visits_of_interest, days_since_last_port_visit_of_interest, coalesce(n_name_changes, 0) AS n_name_changes, coalesce(n_mmsi_changes, 0) AS n_mmsi_changes, coalesce(n_flag_changes, 0) AS n_flag_changes,
-  coalesce(flag_to_convenience_registry, 0) AS flag_to_convenience_registry, days_since_last_identity_change, current_flag, coalesce(n_mmsi_number_churn, 0) AS n_mmsi_number_churn, l.length AS length_m,
+  coalesce(flag_to_convenience_registry, 0) AS flag_to_convenience_registry, days_since_last_identity_change, current_flag, coalesce(n_mmsi_number_churn, 0) AS n_mmsi_number_churn, spoof_jump_rate_excess,
+  coalesce(n_sts_candidates, 0) AS n_sts_candidates, coalesce(anchorage_loitering_hours, 0) AS anchorage_loitering_hours, coalesce(n_sts_with_draught_change, 0) AS n_sts_with_draught_change, coalesce(n_draught_inconsistencies, 0) AS n_draught_inconsistencies, l.length AS length_m,
   CAST(NULL AS DOUBLE) AS vessel_age_years, CAST(NULL AS DOUBLE) AS dwt
 FROM f_pop p LEFT JOIN f_ais USING (cutoff, entity) LEFT JOIN f_lod USING (cutoff, entity) LEFT JOIN f_dst USING (cutoff, entity) LEFT JOIN f_evt USING (cutoff, entity) LEFT JOIN f_prt USING (cutoff, entity)
-LEFT JOIN f_idn USING (cutoff, entity) LEFT JOIN f_chn USING (cutoff, entity) LEFT JOIN lgt l ON l.cutoff = p.cutoff AND l.entity = p.entity AND l.n = 1"""
+LEFT JOIN f_idn USING (cutoff, entity) LEFT JOIN f_chn USING (cutoff, entity) LEFT JOIN f_spf USING (cutoff, entity) LEFT JOIN f_mtg USING (cutoff, entity) LEFT JOIN f_loi USING (cutoff, entity) LEFT JOIN f_drf USING (cutoff, entity) LEFT JOIN lgt l ON l.cutoff = p.cutoff AND l.entity = p.entity AND l.n = 1"""
 
 
 @query(f"WITH {POS}, {MAP}, {CUT}, {AT}, {WIN}, {INTERVALS}, {FEATURES} {WIDE}")
 def features_wide(spark, sf):
-    p, at = positions(spark, sf), _at(spark, sf)
+    at = settled(_at(spark, sf))
+    p = settled(X.known(positions(spark, sf), at, None))  # once; families then read their columns
     families = [
         X.ais(p, at, LOOKBACK),
         X.loads(p, p.where("nav_status = 'click'").withColumn("draught", F.col("sog")), at, LOOKBACK),
         X.destinations(p.withColumn("interest", (F.col("k") % 4 == 0).cast("int")), at, LOOKBACK),
-        X.third_party(_third_party(spark, sf), at, LOOKBACK),
-        X.identity(_intervals(spark, sf).withColumn("flag", F.col("flag")), at, ["PA", "LR"]).withColumn("current_flag", F.coalesce("current_flag", F.lit("-"))),
-        X.churned(p.where("false"), at),
+        X.third_party(_third_party(p), at, LOOKBACK),
+        X.identity(_intervals(spark, sf), at, ["PA", "LR"]).withColumn("current_flag", F.coalesce("current_flag", F.lit("-"))),
+        X.churned(D.churn(positions(spark, sf), "number", min_days=5), at),
+        X.spoof(p.withColumn("excess", F.col("sog")), at, LOOKBACK),
+        X.meetings(_meetings(spark, sf), at, LOOKBACK),
+        X.detections(*_detections(p), at, LOOKBACK),
         X.static(p, at, LOOKBACK),
     ]
     return X.assemble(X.population(p, at, LOOKBACK), families)

@@ -88,8 +88,8 @@ def artifacts_cells(spark, sf):
 
 
 @query(f"""WITH {POS}, {MOVED}, {BASE}, e AS (SELECT mmsi, day, cell, count(*) AS r, count(*) FILTER (WHERE jumped) AS j FROM jmp GROUP BY mmsi, day, cell),
-x AS (SELECT e.mmsi, e.day, CAST(sum(j) AS BIGINT) AS n_jumps, sum(r * coalesce(share, 0)) / sum(r) AS expected, count(*) AS n_cells FROM e LEFT JOIN base USING (cell, day) GROUP BY e.mmsi, e.day)
-SELECT mmsi, day, n_jumps, round(expected, 6) AS expected, round(CASE WHEN n_jumps > 0 THEN 1.0::DOUBLE ELSE 0 END - expected, 6) AS excess, n_cells FROM x""")
+x AS (SELECT e.mmsi, e.day, CAST(sum(j) AS BIGINT) AS n_jumps, round(CAST(CAST(sum(r * coalesce(CAST(share AS DECIMAL(20,12)), 0)) AS DOUBLE) / sum(r) AS DECIMAL(20,12)), 6) AS expected, count(*) AS n_cells FROM e LEFT JOIN base USING (cell, day) GROUP BY e.mmsi, e.day)
+SELECT mmsi, day, n_jumps, CAST(expected AS DOUBLE) AS expected, CAST(CASE WHEN n_jumps > 0 THEN 1 ELSE 0 END - expected AS DOUBLE) AS excess, n_cells FROM x""")
 def incidence_excess(spark, sf):
     moved = _moved(spark, sf)
     return D.excess_incidence(I.artifacts(moved), I.jump_baseline(moved))
@@ -175,16 +175,16 @@ def loitering(spark, sf):
 
 CHANGES = f"""red AS (SELECT mmsi, observed_at, min(sog) AS value FROM pos WHERE nav_status = 'click' GROUP BY 1, 2 HAVING min(sog) = max(sog)),
 chg AS (SELECT * FROM (SELECT mmsi, lag(observed_at) OVER w AS from_ts, observed_at AS to_ts, lag(value) OVER w AS previous, value, value - lag(value) OVER w AS delta FROM red WINDOW w AS (PARTITION BY mmsi ORDER BY observed_at)) WHERE abs(delta) >= 50),
-mee AS (SELECT mmsi AS a, 1 + mmsi % 150 AS b, observed_at AS s, observed_at + INTERVAL 2 HOUR AS e FROM pos WHERE nav_status = 'view' AND k % 5 = 0)"""
+mee AS (SELECT mmsi AS a, 1 + mmsi % 150 AS b, observed_at AS s, observed_at + INTERVAL 2 HOUR AS e FROM pos WHERE nav_status = 'view')"""
 
 
 @query(f"""WITH {POS}, {CHANGES} SELECT mmsi, from_ts, to_ts, previous, value, round(delta, 6) AS delta,
-  EXISTS (SELECT 1 FROM pos p WHERE p.nav_status = 'error' AND p.k % 7 = 0 AND p.mmsi = chg.mmsi AND p.observed_at > from_ts AND p.observed_at < to_ts) AS moored_between,
+  EXISTS (SELECT 1 FROM pos p WHERE p.nav_status = 'error' AND p.mmsi = chg.mmsi AND p.observed_at > from_ts AND p.observed_at < to_ts) AS moored_between,
   EXISTS (SELECT 1 FROM mee WHERE (mee.a = chg.mmsi OR mee.b = chg.mmsi) AND mee.e > from_ts AND mee.s < to_ts) AS met_between FROM chg""")
 def value_changes(spark, sf):
     p = positions(spark, sf)
-    meet = p.where("nav_status = 'view' and k % 5 = 0").select(F.col("mmsi").alias("a"), (1 + F.col("mmsi") % 150).alias("b"), F.col("observed_at").alias("start"), (F.col("observed_at") + F.expr("interval 2 hours")).alias("end"))
-    return D.value_changes(p.where("nav_status = 'click'").select("mmsi", "observed_at", F.col("sog").alias("value")), p.where("nav_status = 'error' and k % 7 = 0"), meet, least=50.0)
+    meet = p.where("nav_status = 'view'").select(F.col("mmsi").alias("a"), (1 + F.col("mmsi") % 150).alias("b"), F.col("observed_at").alias("start"), (F.col("observed_at") + F.expr("interval 2 hours")).alias("end"))
+    return D.value_changes(p.where("nav_status = 'click'").select("mmsi", "observed_at", F.col("sog").alias("value")), p.where("nav_status = 'error'"), meet, least=50.0)
 
 
 @query(f"""WITH {POS}, d AS (SELECT mmsi, number, day, min(observed_at) AS t FROM pos WHERE number IS NOT NULL GROUP BY 1, 2, 3),
@@ -234,10 +234,10 @@ def monthly_cutoffs(spark, sf):
     return T.monthly_cutoffs(spark, "2023-01-01", "2026-12-31", "2025-12-31")
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'signup' AND user_id % 10 = 0)
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'signup')
 SELECT CAST(x AS DATE) AS day FROM unnest(generate_series(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY)) t(x) WHERE CAST(x AS DATE) NOT IN (SELECT day FROM d)""")
 def missing_days(spark, sf):
-    done = events(spark, sf).where("event_type = 'signup' and user_id % 10 = 0").select(F.to_date("ts").alias("day"))
+    done = events(spark, sf).where("event_type = 'signup'").select(F.to_date("ts").alias("day"))
     return I.missing_days(spark, "2024-01-01", "2024-02-05", done)
 
 

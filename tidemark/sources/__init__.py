@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+import codecs
 import io
 import re
 import zipfile
@@ -9,12 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names that columns of raw files go by.
-ALIASES = {
-    "timestamp": ("# timestamp", "timestamp", "time"), "mobile_type": ("type of mobile", "mobile type"), "mmsi": ("mmsi",), "lat": ("latitude", "lat"), "lon": ("longitude", "lon"),
-    "nav_status": ("navigational status", "nav status"), "rot": ("rot",), "sog": ("sog",), "cog": ("cog",), "heading": ("heading",), "imo": ("imo",), "callsign": ("callsign", "call sign"), "name": ("name",),
-    "ship_type": ("ship type",), "cargo_type": ("cargo type",), "width": ("width",), "length": ("length",), "pos_fix_type": ("type of position fixing device", "position fix type"), "draught": ("draught",),
-    "destination": ("destination",), "eta": ("eta",), "data_source": ("data source type", "data source"), "a": ("a", "size a"), "b": ("b", "size b"), "c": ("c", "size c"), "d": ("d", "size d"),
+#: Column names of the raw files, as they are published, by ours. Fixed values.
+PUBLISHED = {
+    "timestamp": "# Timestamp", "mobile_type": "Type of mobile", "mmsi": "MMSI", "lat": "Latitude", "lon": "Longitude", "nav_status": "Navigational status", "rot": "ROT", "sog": "SOG", "cog": "COG",
+    "heading": "Heading", "imo": "IMO", "callsign": "Callsign", "name": "Name", "ship_type": "Ship type", "cargo_type": "Cargo type", "width": "Width", "length": "Length",
+    "pos_fix_type": "Type of position fixing device", "draught": "Draught", "destination": "Destination", "eta": "ETA", "data_source": "Data source type", "a": "A", "b": "B", "c": "C", "d": "D",
 }
 REQUIRED = ("timestamp", "mmsi", "lat", "lon")
 
@@ -37,8 +37,9 @@ class Store:
         return df if dt is None else df.where(F.col("dt") == dt)
 
     def write(self, df: DataFrame, table: str, order: tuple = (), partition: str | None = "dt") -> None:
-        """Replaces the partitions that `df` has, or the whole table; readers see them complete, as
-        tasks commit to a folder of their own first. `order` clusters rows within files."""
+        """Replaces the partitions that `df` has, or the whole table, when all tasks are done. A
+        reader of a partition that is just then replaced may miss its files and has to read again.
+        `order` clusters rows within files."""
         out = (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "zstd")
         if partition:
             out = out.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
@@ -48,31 +49,68 @@ class Store:
         return self.read(table).select("dt").distinct()
 
 
+def _words(name: str) -> list:
+    """Words of a column name: letters and digits in lower case, spelled the British way."""
+    return [re.sub("aft$", "aught", w) for w in re.findall("[a-z0-9]+", name.lower())]
+
+
+def _close(name: list, published: list) -> bool:
+    """Whether a name abbreviates a published one: run together they are the same, or each of its
+    words, but ship, vessel and size, begins a different word of it."""
+    if "".join(name) == "".join(published):
+        return True
+    left = list(published)
+    for w in [w for w in name if w not in ("ship", "vessel", "size")] or name:
+        fit = next((p for p in left if p == w or len(w) > 2 and p.startswith(w)), None)
+        if fit is None:
+            return False
+        left.remove(fit)
+    return True
+
+
 def header_map(header: list) -> dict:
-    """{our name: position} of a raw file's header; raises where a required column is missing."""
-    known = {alias: name for name, all_ in ALIASES.items() for alias in all_}
-    at = {known[h]: i for i, h in reversed(list(enumerate(re.sub(r"\s+", " ", x.strip().strip('"').lower()) for x in header))) if h in known}
+    """{our name: position} of a raw file's header: of each published name the column that has it,
+    else the first that abbreviates it and no other one. Raises where a required one is missing."""
+    names = [_words(h) for h in header]
+    published = {n: _words(p) for n, p in PUBLISHED.items()}
+    at = {n: names.index(p) for n, p in published.items() if p in names}
+    for i, h in enumerate(names):
+        if h and i not in at.values():
+            near = [n for n, p in published.items() if _close(h, p) or h == n.split("_")]
+            if len(near) == 1:
+                at.setdefault(near[0], i)
     if missing := [n for n in REQUIRED if n not in at]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     return at
 
 
+def drift(header: list) -> tuple[list, list]:
+    """(columns of a header that are none of ours, published names that it lacks)."""
+    at = header_map(header)
+    return [h for i, h in enumerate(header) if i not in at.values()], [p for n, p in PUBLISHED.items() if n not in at]
+
+
 def sniff(sample: bytes):
-    """(encoding, delimiter) of a raw file's beginning."""
+    """(encoding, delimiter) of a raw file's beginning. The encoding is UTF-8 if a decoder that may
+    still wait for bytes takes the sample. The delimiter is the sign that the most lines have as
+    often as the first one does; of equal ones the one that is there more often."""
     try:
-        sample.decode("utf-8-sig")
-        encoding = "utf-8-sig"
-    except UnicodeDecodeError as e:
-        encoding = "utf-8-sig" if e.start > len(sample) - 4 else "latin-1"
-    line = sample.decode(encoding, "replace").split("\n", 1)[0]
-    return encoding, max(",;\t|", key=line.count)
+        text, encoding = codecs.getincrementaldecoder("utf-8-sig")().decode(sample), "utf-8-sig"
+    except UnicodeDecodeError:
+        text, encoding = sample.decode("latin-1"), "latin-1"
+    lines = text.splitlines()[:20]
+    lines = lines[:-1] or lines  # the last one may be cut
+    first = lines[0] if lines else ""
+    agree = {d: (sum(x.count(d) == first.count(d) for x in lines), first.count(d)) for d in ",;\t|" if d in first}
+    return encoding, max(agree, key=agree.get, default=",")
 
 
 def read_zipped_csv(spark: SparkSession, paths, chunk: int = 50_000) -> DataFrame:
-    """All csv members of zip archives as string columns under our names, with `file` and `bad`,
-    the number of malformed rows before (on each chunk's first row). A zip can't be split, so each
-    is one task, which reads it as a stream, `chunk` rows at a time."""
-    names = list(ALIASES)
+    """All csv members of zip archives as string columns under our names, with `file` and `bad`:
+    a malformed line is a row without values and bad = 1, so that counts of them add up. A zip can't
+    be split, so each is one task, and at most 2 GB, as the row of a file; its members are read as
+    streams, `chunk` rows at a time."""
+    names = list(PUBLISHED)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -83,29 +121,23 @@ def read_zipped_csv(spark: SparkSession, paths, chunk: int = 50_000) -> DataFram
                     for member in z.namelist():
                         if not member.lower().endswith((".csv", ".txt")):
                             continue
-                        encoding, sep = sniff(z.open(member).read(64_000))
+                        with z.open(member) as head:
+                            encoding, sep = sniff(head.read(64_000))
                         lines = csv.reader(io.TextIOWrapper(z.open(member), encoding=encoding, errors="replace", newline=""), delimiter=sep)
                         head = next(lines, [])
-                        at, rows, bad = header_map(head), [], 0
-
-                        def frame():
-                            out = pd.DataFrame(rows, columns=names, dtype=object).assign(file=path, bad=0)
-                            if len(out):
-                                out.loc[0, "bad"] = bad
-                            return out
-
+                        at, rows = header_map(head), []
+                        frame = lambda rows: pd.DataFrame(rows, columns=[*names, "bad"], dtype=object).assign(file=path)  # noqa: B023, E731
                         for line in lines:
-                            if len(line) != len(head):
-                                bad += 1
-                                continue
-                            rows.append([line[at[n]] if n in at else None for n in names])
+                            whole = len(line) == len(head)
+                            if line:
+                                rows.append([line[at[n]] if whole and n in at else None for n in names] + [int(not whole)])
                             if len(rows) >= chunk:
-                                yield frame()
-                                rows, bad = [], 0
+                                yield frame(rows)
+                                rows = []
                         if rows:
-                            yield frame()
+                            yield frame(rows)
 
-    schema = ", ".join(f"{n} string" for n in names) + ", file string, bad bigint"
+    schema = ", ".join(f"{n} string" for n in names) + ", bad bigint, file string"
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
 
 
