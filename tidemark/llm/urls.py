@@ -76,6 +76,9 @@ def judge(pages: DataFrame, rules: DataFrame, *, redirects: DataFrame | None = N
     no page count too. Only addresses and aliases are shuffled, and components are found step by
     step, so no group of aliases is ever in one task.
 
+    Links are taken as they stand: character references aren't decoded, `..` isn't resolved, and the
+    first canonical tag of a page counts wherever it is, in a comment too.
+
     Null urls and urls without :// have an empty host and path, no rule and no alias, and are
     allowed. Null html has no links. Repeated rows are judged one by one. Empty: no rows.
     """
