@@ -127,5 +127,5 @@ def test_functions_travel_without_caches():
 
     decontaminate._words("some words")
     text.powers(1 << 21)
-    for f in (J._sketch(5, 22), J._blobs(5), quality._count, toxicity._present, toxicity._sketch, lm._vocabulary, lm._ask(8), embeddings._link(0.9, None, "<f4"), decontaminate._annotate(None, 0, [])):
+    for f in (J._sketch(5, 22), J._blobs(5), quality._count, toxicity._present, toxicity._sketch, lm._vocabulary, lm._ask(8), embeddings._each(embeddings._link(0.9, "<f4"), None), decontaminate._annotate(None, 0, [])):
         assert len(cloudpickle.dumps(f)) < 100_000

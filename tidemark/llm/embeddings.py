@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ SAMPLE = 20_000
 BLOCK = 2048
 #: Vectors of a length, not the commonest, up to which all of a label are one bucket, without codes.
 FEW = 4 * BLOCK
+#: Components of vectors of table rows that go through one call to Python, about.
+TOGETHER = 50_000 * 64
 #: Share of the pairs at the threshold, made from vectors that the rotations weren't learned from,
 #: that the tables are made to find.
 RECALL = 0.995
@@ -138,11 +141,37 @@ def _sides(table: pa.Table):
     return np.flatnonzero(own == table.column("a")[0].as_py()), np.flatnonzero(own == table.column("b")[0].as_py())
 
 
-def _hopeful(tables):
-    """The members of a block that have another, not themselves, within the radius of their codes."""
+def _each(block, tables):
+    """Applies block(table, learned) to each block of a bucket, of more than one row, among the
+    rows of many: most buckets are small, and one call for each would cost more than its work."""
+    held = []
 
     def run(table: pa.Table) -> pa.Table:
-        learned = received(tables).get(table.column("d")[0].as_py())
+        if not held:
+            held.append(received(tables))
+        at = [table.column(x).to_numpy() for x in ("b", "a", "k", "t", "d")]
+        at.append(pc.dictionary_encode(table.column("label").combine_chunks()).indices.to_numpy())
+        order = np.lexsort(at)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in at:
+            new[1:] |= x[order][1:] != x[order][:-1]
+        edge = np.append(np.flatnonzero(new), len(order))
+        parts = [block(table.slice(0, 0), None)]
+        for i in np.flatnonzero(np.diff(edge) > 1).tolist():
+            own = table.take(pa.array(order[edge[i] : edge[i + 1]]))
+            parts.append(block(own, held[0].get(own.column("d")[0].as_py())))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _hopeful():
+    """The members of a block that have another, not themselves, within the radius of their codes."""
+
+    def run(table: pa.Table, learned) -> pa.Table:
+        if not table.num_rows:
+            return table.drop_columns(["code"])
         left, right = _sides(table)
         keep = np.zeros(table.num_rows, bool)
         if len(left) and len(right):
@@ -163,12 +192,13 @@ def _hopeful(tables):
     return run
 
 
-def _link(threshold: float, tables, kind: str):
+def _link(threshold: float, kind: str):
     """Links of one block of a bucket that no earlier table has: for each row the weight of its
     partners, and the least row of the component that the block makes of them."""
 
-    def run(table: pa.Table) -> pa.Table:
-        learned = received(tables).get(table.column("d")[0].as_py())
+    def run(table: pa.Table, learned) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({x: pa.array([], pa.int64()) for x in ("c", "links", "root")})
         table = table.take(pa.array(np.argsort(table.column("c").to_numpy(), kind="stable")))
         ids, m = table.column("c").to_numpy(), table.column("m").to_numpy()
         left, right = _sides(table)
@@ -251,11 +281,13 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     met = met.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = [*bucket, "a", "b"]
     met = met.select("c", "code", "own", *bucket, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    hopeful = met.groupBy(*place).applyInArrow(_hopeful(tables), f"c bigint, own int, label {kind}, d int, t int, k bigint, a int, b int")
+    most = max((len(t.turns) * (t.d // t.width) * t.d for t in learned.values()), default=1)
+    met = met.withColumn("g", F.pmod(F.xxhash64(*place), F.lit(max(12, n * most // TOGETHER))).cast("int"))
+    hopeful = met.groupBy("g").applyInArrow(_each(_hopeful(), tables), f"c bigint, own int, label {kind}, d int, t int, k bigint, a int, b int, g int")
     hopeful = scratch.save(hopeful)
     full = hopeful.join(coded.select(F.col("c").alias("vc"), "m", "vec", "code"), F.col("c") == F.col("vc")).drop("vc")
     single = "float" if own.schema["e"].dataType.elementType.simpleString() == "float" else "double"
-    found = scratch.save(full.groupBy(*place).applyInArrow(_link(threshold, tables, {"float": "<f4", "double": "<f8"}[single]), "c bigint, links bigint, root bigint"))
+    found = scratch.save(full.groupBy("g").applyInArrow(_each(_link(threshold, {"float": "<f4", "double": "<f8"}[single]), tables), "c bigint, links bigint, root bigint"))
     scratch.drop(hopeful, coded, large)
     links = found.groupBy("c").agg(F.sum("links").alias("links")).withColumnRenamed("c", "lc")
     comp = components(found.select(F.col("c").alias("u"), F.col("root").alias("v")), scratch)
