@@ -135,6 +135,12 @@ def _matrix(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def _words(codes: list) -> np.ndarray:
+    """Equally long codes as rows of 64-bit words."""
+    pad = b"\0" * (-len(codes[0]) % 8)
+    return np.frombuffer(pad.join([*codes, b""]), np.uint64).reshape(len(codes), -1)
+
+
 def _sides(table: pa.Table):
     """Positions of the two sides of a block."""
     own = table.column("own").to_numpy()
@@ -175,9 +181,7 @@ def _hopeful():
         left, right = _sides(table)
         keep = np.zeros(table.num_rows, bool)
         if len(left) and len(right):
-            code = _matrix(table.column("code"), np.uint8)
-            pad = np.zeros((len(code), -code.shape[1] % 8), np.uint8)
-            words = np.concatenate((code, pad), axis=1).view(np.uint64)
+            words = _words(table.column("code").to_pylist())
             radius = learned.radius if learned else 0
             for i in range(0, len(left), 256):
                 rows = left[i : i + 256]
@@ -282,7 +286,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     place = [*bucket, "a", "b"]
     met = met.select("c", "code", "own", *bucket, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     most = max((len(t.turns) * (t.d // t.width) * t.d for t in learned.values()), default=1)
-    met = met.withColumn("g", F.pmod(F.xxhash64(*place), F.lit(max(12, n * most // TOGETHER))).cast("int"))
+    met = met.withColumn("g", F.pmod(F.xxhash64(*place), F.lit(max(12, own.count() * most // TOGETHER))).cast("int"))
     hopeful = met.groupBy("g").applyInArrow(_each(_hopeful(), tables), f"c bigint, own int, label {kind}, d int, t int, k bigint, a int, b int, g int")
     hopeful = scratch.save(hopeful)
     full = hopeful.join(coded.select(F.col("c").alias("vc"), "m", "vec", "code"), F.col("c") == F.col("vc")).drop("vc")
