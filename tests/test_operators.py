@@ -65,6 +65,30 @@ def test_pair_join_over_bucket_edges(spark):
     assert rows(S.pair_join(df, "k", "slot", 500.0), "a", "b", "slot") == [(1, 2, 0)]
 
 
+def test_pair_join_matches_a_loop_at_poles_and_the_date_line(spark):
+    import math
+    import random
+
+    random.seed(5)
+
+    def metres(p, q):
+        f = math.radians
+        h = math.sin(f(q[0] - p[0]) / 2) ** 2 + math.cos(f(p[0])) * math.cos(f(q[0])) * math.sin(f(q[1] - p[1]) / 2) ** 2
+        return 2000 * C.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    near, points = math.degrees(3 / C.EARTH_KM), []
+    for lat in (-90, -89.0, -75, 0, 55, 70, 88.99, 89.9):
+        for lon in (180, 10):
+            for _ in range(25):
+                y = max(-90.0, lat + random.uniform(-3, 3) * near)
+                x = lon + random.uniform(-4, 4) * near / max(0.005, math.cos(math.radians(lat)))
+                points.append((len(points), random.choice([0, 1]), y, (x + 180) % 360 - 180))
+    want = sorted((p[0], q[0]) for i, p in enumerate(points) for q in points[i + 1 :] if p[1] == q[1] and metres(p[2:], q[2:]) < 3000)
+    df = spark.createDataFrame(points, "k int, slot int, lat double, lon double")
+    assert len(want) > 100 and rows(S.pair_join(df, "k", "slot", 3000.0), "a", "b") == want
+    assert rows(S.pair_join(df, "k", "slot", 3000.0, 0.1), "a", "b") == want
+
+
 def test_nearest_near_the_pole_matches_a_loop(spark):
     import math
     import random
@@ -95,6 +119,21 @@ def test_transfers_fire_and_near_misses(spark):
         assert D.transfers(near).count() == 0
 
 
+def test_transfers_of_pairs_further_apart_than_a_small_cell(spark):
+    """2.5 km to the east are five cells of 0.01 degrees at 65 degrees of latitude."""
+    east = 2500 / (111_195.0 * 0.42262)
+    df = spark.createDataFrame([(k, at(m), 65.0, 10.0 + east * (k == 2), 0.5, None) for m in range(181) for k in (1, 2)], "mmsi int, observed_at timestamp_ntz, lat double, lon double, sog double, nav_status string")
+    assert rows(D.transfers(df, metres=3000.0), "a", "b", "minutes") == [(1, 2, 181)]
+
+
+def test_transfers_with_just_the_cover(spark):
+    """Half of the minutes of a run is enough for any length, though hours are fractions."""
+    for span in (125, 249):
+        seen = [*range(0, span - 2, 2), span]
+        df = spark.createDataFrame([(k, at(m), 55.0, 10.0, 0.5, None) for m in seen for k in (1, 2)], "mmsi int, observed_at timestamp_ntz, lat double, lon double, sog double, nav_status string")
+        assert rows(D.transfers(df, min_hours=0.0), "a", "b", "minutes") == [(1, 2, (span + 1) // 2)]
+
+
 def test_loitering_hours(spark):
     p = _pair(spark, 13, 200)
     assert D.loitering(p).count() == 3 and D.loitering(p, min_hours=20.0).count() == 0
