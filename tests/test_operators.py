@@ -89,6 +89,19 @@ def test_pair_join_matches_a_loop_at_poles_and_the_date_line(spark):
     assert rows(S.pair_join(df, "k", "slot", 3000.0, 0.1), "a", "b") == want
 
 
+def test_pair_join_looks_into_five_cells_at_most_and_prints_no_numbers(spark):
+    import random
+
+    import duckdb
+
+    random.seed(2)
+    df = spark.createDataFrame([(i, 0, random.uniform(-80, 80), random.uniform(-180, 180)) for i in range(500)], "k int, slot int, lat double, lon double")
+    assert S._cells(df, 1000.0, 0.0)[1].groupBy("k").count().agg(F.max("count")).first()[0] <= 5
+    values = [random.uniform(0, 1000) for _ in range(500)] + [0.0, 0.00005, 0.00015, 2.5, 999.99995]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(C.round_positive("v", 4).alias("v")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
+
+
 def test_nearest_near_the_pole_matches_a_loop(spark):
     import math
     import random
