@@ -8,6 +8,7 @@ from tidemark.operators import evidence as E
 from tidemark.operators import identity as R
 from tidemark.operators import ingest as I
 from tidemark.operators import labels as L
+from tidemark.operators import meetings as H
 from tidemark.operators import models as N
 from tidemark.operators import score as M
 from tidemark.operators import spatial as S
@@ -102,6 +103,35 @@ def test_pair_join_looks_into_five_cells_at_most_and_prints_no_numbers(spark):
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
 
 
+def test_pair_runs_are_those_of_all_meetings_and_shuffle_none(spark, monkeypatch):
+    """Against sessions of the pair join: poles, the date line, many blocks, few candidates at a time."""
+    import random
+
+    random.seed(7)
+    places = [(lat, lon) for lat in (-89.99, 0.0, 55.0, 89.5) for lon in (180.0, 0.0, 10.0)]
+    data = []
+    for k in range(60):
+        lat, lon = random.choice(places)
+        for slot in sorted(random.sample(range(24), 12)):
+            x = lon + random.uniform(-0.02, 0.02) / max(0.005, abs(90 - abs(lat)) / 57)
+            data.append((f"k{k:02}", at(60 * slot), lat + random.uniform(-0.01, 0.01), (x + 180) % 360 - 180))
+    df = spark.createDataFrame(data, "k string, slot timestamp_ntz, lat double, lon double")
+    met = T.sessionize(S.pair_join(df, "k", "slot", 1000.0), ["a", "b"], "slot", "slot", 3 * 3600.0).groupBy("a", "b", "session")
+    want = rows(met.agg(F.min("slot").alias("start"), F.max("slot").alias("end"), F.count("*").alias("n")), "a", "b", "start", "end", "n")
+    monkeypatch.setattr(H, "STEP", 50)
+    for per_block in (100_000, 100):
+        assert rows(H.pair_runs(df, "k", "slot", 1000.0, 3 * 3600.0, rows_per_block=per_block), "a", "b", "start", "end", "n") == want
+    assert len(want) > 100 and rows(H.pair_runs(df, "k", "slot", 1000.0, 3 * 3600.0, least=2), "a", "b", "n") == sorted((a, b, n) for a, b, _, _, n in want if n > 1)
+    assert H.pair_runs(df.where("k < ''"), "k", "slot", 1000.0, 60.0).count() == 0
+
+
+def test_pair_sessions_keep_pairs_out_of_shuffles(spark):
+    from tidemark import plans
+
+    plan = plans.QUERIES["pair_sessions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
 def test_nearest_near_the_pole_matches_a_loop(spark):
     import math
     import random

@@ -7,6 +7,7 @@ from ..operators import detect as D
 from ..operators import ingest as I
 from ..operators import spatial as S
 from ..operators import temporal as T
+from ..operators.meetings import pair_runs
 from .adapter import POS, cutoffs, events, positions
 
 QUERIES, SQL = {}, {}
@@ -159,9 +160,7 @@ def pair_join(spark, sf):
 s AS (SELECT *, sum(new) OVER (PARTITION BY a, b ORDER BY slot ROWS UNBOUNDED PRECEDING) AS session FROM n)
 SELECT a, b, min(slot) AS start_at, max(slot) AS end_at, count(*) AS n FROM s GROUP BY a, b, session HAVING count(*) >= 2""")
 def pair_sessions(spark, sf):
-    p = S.pair_join(_slots(spark, sf), "mmsi", "slot", 1000.0)
-    g = T.sessionize(p, ["a", "b"], "slot", "slot", 7 * 86400.0).groupBy("a", "b", "session")
-    return g.agg(F.min("slot").alias("start_at"), F.max("slot").alias("end_at"), F.count("*").alias("n")).where("n >= 2").drop("session")
+    return pair_runs(_slots(spark, sf), "mmsi", "slot", 1000.0, 7 * 86400.0, least=2).withColumnsRenamed({"start": "start_at", "end": "end_at"})
 
 
 @query(f"""WITH {POS}, m AS (SELECT mmsi, date_trunc('minute', observed_at) AS minute, avg(lat) AS lat, avg(lon) AS lon FROM pos WHERE sog < 100 GROUP BY 1, 2),
