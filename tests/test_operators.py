@@ -117,11 +117,14 @@ def test_pair_runs_are_those_of_all_meetings_and_shuffle_none(spark, monkeypatch
             data.append((f"k{k:02}", at(60 * slot), lat + random.uniform(-0.01, 0.01), (x + 180) % 360 - 180))
     df = spark.createDataFrame(data, "k string, slot timestamp_ntz, lat double, lon double")
     met = T.sessionize(S.pair_join(df, "k", "slot", 1000.0), ["a", "b"], "slot", "slot", 3 * 3600.0).groupBy("a", "b", "session")
+    closest = met.agg(F.round(F.min("distance_m"), 5).alias("m"), F.min("slot").alias("start"))
     want = rows(met.agg(F.min("slot").alias("start"), F.max("slot").alias("end"), F.count("*").alias("n")), "a", "b", "start", "end", "n")
     monkeypatch.setattr(H, "STEP", 50)
     for per_block in (100_000, 100):
         assert rows(H.pair_runs(df, "k", "slot", 1000.0, 3 * 3600.0, rows_per_block=per_block), "a", "b", "start", "end", "n") == want
     assert len(want) > 100 and rows(H.pair_runs(df, "k", "slot", 1000.0, 3 * 3600.0, least=2), "a", "b", "n") == sorted((a, b, n) for a, b, _, _, n in want if n > 1)
+    got = H.pair_runs(df, "k", "slot", 1000.0, 3 * 3600.0, distance=True, rows_per_block=300).withColumn("m", F.round("min_distance_m", 5))
+    assert rows(got, "a", "b", "start", "m") == rows(closest, "a", "b", "start", "m")
     assert H.pair_runs(df.where("k < ''"), "k", "slot", 1000.0, 60.0).count() == 0
 
 

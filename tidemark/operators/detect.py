@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hours_between, micros
-from .spatial import pair_join
+from .meetings import pair_runs
 from .temporal import established, sessionize
 
 
@@ -12,14 +12,12 @@ def _minutes(df: DataFrame) -> DataFrame:
     return df.withColumn("minute", F.date_trunc("minute", F.col("observed_at")).cast("timestamp_ntz"))
 
 
-def transfers(positions: DataFrame, *, metres: float = 500.0, max_kn: float = 2.0, tolerance_min: int = 10, min_hours: float = 2.0, min_cover: float = 0.5, bucket: float = 0.0) -> DataFrame:
+def transfers(positions: DataFrame, *, metres: float = 500.0, max_kn: float = 2.0, tolerance_min: int = 10, min_hours: float = 2.0, min_cover: float = 0.5) -> DataFrame:
     """Runs of slow, unmoored pairs nearer than `metres`: minutes may miss up to the tolerance, a
     run lasts `min_hours` and has pairs in `min_cover` of its minutes."""
     slow = positions.where((F.col("sog") < max_kn) & ~F.contains(F.lower(F.coalesce("nav_status", F.lit(""))), F.lit("moor")))
     each = _minutes(slow).groupBy("mmsi", "minute").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    met = pair_join(each, "mmsi", "minute", metres, bucket)
-    met = sessionize(met, ["a", "b"], "slot", "slot", tolerance_min * 60.0)
-    runs = met.groupBy("a", "b", "session").agg(F.min("slot").alias("start"), F.max("slot").alias("end"), F.count("*").alias("minutes"), F.min("distance_m").alias("min_distance_m"))
+    runs = pair_runs(each, "mmsi", "minute", metres, tolerance_min * 60.0, distance=True).withColumnRenamed("n", "minutes")
     runs = runs.withColumn("hours", hours_between("start", "end"))
     # in whole minutes: hours * 60 may be a little more than they are
     cover = F.col("minutes") >= F.lit(min_cover) * ((micros("end") - micros("start")) / F.lit(6e7) + 1)

@@ -13,9 +13,10 @@ from .reuse import settled
 STEP = 1 << 19
 
 
-def pair_runs(df: DataFrame, key: str, slot: str, metres: float, tolerance_s: float, *, least: int = 1, rows_per_block: int = 100_000) -> DataFrame:
+def pair_runs(df: DataFrame, key: str, slot: str, metres: float, tolerance_s: float, *, least: int = 1, distance: bool = False, rows_per_block: int = 100_000) -> DataFrame:
     """(a, b, start, end, n): the meetings of spatial.pair_join as runs in which each slot (a time) is
-    within the tolerance of the one before; runs of at least `least` meetings.
+    within the tolerance of the one before; runs of at least `least` meetings. With `distance` also the
+    least distance of a run, min_distance_m.
 
     Keys are dealt to g groups, and a task gets all rows of two groups. So it has all meetings of
     its pairs and forms their runs itself: what is shuffled is g copies of the rows, never the
@@ -33,10 +34,10 @@ def pair_runs(df: DataFrame, key: str, slot: str, metres: float, tolerance_s: fl
     dealt = dealt.withColumn("block", (high * (high + 1) / 2).cast("int") + low).withColumn("first", F.col("own") == low)
     dealt = dealt.select("block", "first", (low == high).alias("alone"), "k", "t", "lat", "lon")
     blocks = dealt.repartitionById(g * (g + 1) // 2, "block").sortWithinPartitions("block")
-    return blocks.mapInArrow(partial(_tasks, metres=metres, tolerance=int(tolerance_s * 1e6), least=least), f"a {kinds['k']}, b {kinds['k']}, start {kinds['t']}, end {kinds['t']}, n bigint")
+    return blocks.mapInArrow(partial(_tasks, metres=metres, tolerance=int(tolerance_s * 1e6), least=least, distance=distance), f"a {kinds['k']}, b {kinds['k']}, start {kinds['t']}, end {kinds['t']}, n bigint" + (", min_distance_m double" if distance else ""))
 
 
-def _tasks(batches, metres, tolerance, least):
+def _tasks(batches, metres, tolerance, least, distance):
     """Blocks of a task, one after the other."""
     import numpy as np
     import pyarrow as pa
@@ -49,15 +50,15 @@ def _tasks(batches, metres, tolerance, least):
             if i == j:
                 continue
             if ids[i] != now and parts:
-                yield from _runs(pa.Table.from_batches(parts), metres, tolerance, least)
+                yield from _runs(pa.Table.from_batches(parts), metres, tolerance, least, distance)
                 parts = []
             now = ids[i]
             parts.append(batch.slice(i, j - i))
     if parts:
-        yield from _runs(pa.Table.from_batches(parts), metres, tolerance, least)
+        yield from _runs(pa.Table.from_batches(parts), metres, tolerance, least, distance)
 
 
-def _runs(table, metres, tolerance, least):
+def _runs(table, metres, tolerance, least, distance):
     """Runs of the pairs of one block: first with second keys, or all with all where it is alone."""
     import numpy as np
     import pyarrow as pa
@@ -76,6 +77,12 @@ def _runs(table, metres, tolerance, least):
     lr, gr = np.radians(lat), np.radians(lon)
     xyz = [np.cos(lr) * np.cos(gr), np.cos(lr) * np.sin(gr), np.sin(lr)]
     limit = (2 * math.sin(min(metres / 1000.0 / EARTH_KM, math.pi) / 2)) ** 2
+
+    def apart_m(p, o):
+        """Distances as haversine_km has them."""
+        h = np.sin(np.radians(lat[o] - lat[p]) / 2) ** 2 + np.cos(lr[p]) * np.cos(lr[o]) * np.sin(np.radians(lon[o] - lon[p]) / 2) ** 2
+        return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))) * 1000.0
+
     sure, never = limit * (1 - 1e-6) - 1e-14, limit * (1 + 1e-6) + 1e-14
 
     # second rows in the order of slot, band of latitude and longitude (in steps of 360 / 2**25 degrees)
@@ -131,21 +138,26 @@ def _runs(table, metres, tolerance, least):
         hit = apart < sure
         edge = np.flatnonzero((apart <= never) & ~hit)
         if len(edge):
-            p, o = np.repeat(q, c)[edge], second[near[edge]]
-            h = np.sin((lr[o] - lr[p]) / 2) ** 2 + np.cos(lr[p]) * np.cos(lr[o]) * np.sin((gr[o] - gr[p]) / 2) ** 2
-            hit[edge] = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))) * 1000.0 < metres
+            hit[edge] = apart_m(np.repeat(q, c)[edge], second[near[edge]]) < metres
         left, right = np.repeat(who[i:j] - who[i], c)[hit], s_user[near[hit]]
         met = ((left * n_users + right) << bits) + np.repeat(slot[q], c)[hit]
         if alone:
-            met = met[left + who[i] < right]
-        met.sort()
+            one = left + who[i] < right
+            met, hit[hit] = met[one], one
+        if distance:
+            order = np.argsort(met)
+            met, metres_of = met[order], apart_m(np.repeat(q, c)[hit], second[near[hit]])[order]
+        else:
+            met.sort()
         pair, t = met >> bits, times[met & ((1 << bits) - 1)]
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(met)), bool), (pair[1:] != pair[:-1]) | (t[1:] - t[:-1] > tolerance)]))
         n = np.diff(np.append(new, len(met)))
+        closest = np.minimum.reduceat(metres_of, new)[n >= least] if distance and len(new) else None
         new, n = new[n >= least], n[n >= least]
         left, right = pair[new] // n_users + who[i], pair[new] % n_users
         columns = [keys.take(pa.array(f(left, right))) for f in (np.minimum, np.maximum)]
         columns += [pa.array(t[x]).cast(kind) for x in (new, new + n - 1)] + [pa.array(n)]
         if len(n):
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "start", "end", "n"])
+            names = ["a", "b", "start", "end", "n"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(closest)], names=[*names, "min_distance_m"]) if distance else pa.RecordBatch.from_arrays(columns, names=names)
         i = j
