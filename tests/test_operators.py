@@ -103,6 +103,55 @@ def test_pair_join_looks_into_five_cells_at_most_and_prints_no_numbers(spark):
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
 
 
+def _shuffled(spark):
+    """Rows that the session has written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pair_join_shuffles_rows_once_and_nothing_of_the_cells_around(spark):
+    import random
+
+    random.seed(4)
+    data = [(i, i % 5, random.uniform(55, 55.1), random.uniform(10, 10.1)) for i in range(3000)]
+    df = spark.createDataFrame(data, "k int, slot int, lat double, lon double")
+    met = S.pair_join(df, "k", "slot", 1000.0)
+    before = _shuffled(spark)
+    assert met.count() > 3000
+    # a copy at the edge of a tile, and the counts of tiles; the cells ahead were some 4 copies of them
+    assert _shuffled(spark) - before < 1.5 * 3000
+
+
+def test_pair_join_splits_crowded_tiles_and_leaves_odd_rows_out(spark, monkeypatch):
+    """Against a loop: blocks of two groups, few candidates at a time, text keys, keys that repeat in a slot."""
+    import math
+    import random
+
+    random.seed(6)
+
+    def metres(p, q):
+        f = math.radians
+        h = math.sin(f(q[2] - p[2]) / 2) ** 2 + math.cos(f(p[2])) * math.cos(f(q[2])) * math.sin(f(q[3] - p[3]) / 2) ** 2
+        return 2000 * C.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    points = []
+    for lat, lon in ((-90.0, 0.0), (55.0, 180.0), (0.0, 0.0)):
+        for _ in range(80):
+            x = lon + random.uniform(-0.1, 0.1) / max(0.002, math.cos(math.radians(lat)))
+            points.append((f"k{random.randrange(90):02}", random.choice([0, 1]), max(-90.0, lat + random.uniform(-0.1, 0.1)), (x + 180) % 360 - 180))
+    odd = [("k00", 0, math.nan, 0.0), ("k00", 0, math.inf, 0.0), ("k00", 0, 0.0, math.nan), ("k00", 0, None, 0.0), ("k00", None, 0.0, 0.0), (None, 0, 0.0, 0.0)]
+    df = spark.createDataFrame(points + odd, "k string, slot int, lat double, lon double")
+    for limit in (3000.0, 2e7):
+        pairs = [sorted((p, q)) for i, p in enumerate(points) for q in points[i + 1 :] if p[1] == q[1] and p[0] != q[0] and metres(p, q) < limit]
+        want = sorted((p[0], q[0], p[1], *p[2:], *q[2:]) for p, q in pairs)
+        for crowd, step in ((50_000, 1 << 16), (30, 100)):
+            monkeypatch.setattr(S, "CROWD", crowd)
+            monkeypatch.setattr(S, "STEP", step)
+            assert len(want) > 300 and rows(S.pair_join(df, "k", "slot", limit), "a", "b", "slot", "lat_a", "lon_a", "lat_b", "lon_b") == want
+    assert rows(S.pair_join(df, "k", "slot", 2e7, places=False), "a", "b", "slot") == [r[:3] for r in want]
+
+
 def test_pair_runs_are_those_of_all_meetings_and_shuffle_none(spark, monkeypatch):
     """Against sessions of the pair join: poles, the date line, many blocks, few candidates at a time."""
     import random

@@ -151,7 +151,7 @@ def meeting_readiness(positions: DataFrame, *, box, metres: float = 500.0, max_k
     inside = positions.where(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:]))
     slow = inside.where(F.col("sog") < max_kn).groupBy("mmsi", F.date_trunc("minute", "observed_at").cast("timestamp_ntz").alias("minute"))
     slow = slow.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    met = pair_join(slow, "mmsi", "minute", metres).groupBy("a", "b").agg(F.count("*").alias("minutes"))
+    met = pair_join(slow, "mmsi", "minute", metres, places=False).groupBy("a", "b").agg(F.count("*").alias("minutes"))
     pairs = met.agg(F.count(F.when(F.col("minutes") >= least, 1)).alias("pairs"))
     told = slow.agg(F.count("*").alias("slow_minutes"), F.count_distinct("mmsi").alias("slow_transmitters"))
     rows = inside.agg(F.count("*").alias("rows_in_box"), F.count_distinct("mmsi").alias("transmitters_in_box"))
